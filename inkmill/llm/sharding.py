@@ -87,13 +87,9 @@ def _splitters(keys: DataFrame, total: int, wanted: list[tuple[int, int]]) -> li
             [(j, *_prefix_values(low, level)) for low, j in spans.items()], "span int, p1 long, p2 long, p3 long"
         )
         p1, p2, p3 = _prefix(level)
-        counts = (
-            keys.select("size", _digit(level).alias("digit"), p1.alias("p1"), p2.alias("p2"), p3.alias("p3"))
-            .join(F.broadcast(at), ["p1", "p2", "p3"])
-            .groupBy("span", "digit")
-            .agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-            .collect()
-        )
+        rows = keys.select("size", _digit(level).alias("digit"), p1.alias("p1"), p2.alias("p2"), p3.alias("p3"))
+        rows = rows.join(F.broadcast(at), ["p1", "p2", "p3"]) if level else rows.withColumn("span", F.lit(0))
+        counts = rows.groupBy("span", "digit").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
         by_span: dict[int, list] = {}
         for r in sorted(counts, key=lambda r: (r["span"], r["digit"])):
             by_span.setdefault(r["span"], []).append(r)
