@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, sharding, token_store, url_filter
+from . import bpe, chat, sharding, simhash, token_store, url_filter
 from .common import table
 
 #: Fixed values of the URL query's contract: (verdict, host, path).
@@ -39,6 +39,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.contract_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return out.select(
@@ -58,6 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_simhash": op3_simhash,
     "op5_sharding": op5_sharding,
     "op7_token_store": op7_token_store,
     "op9_chat_formatting": op9_chat_formatting,
