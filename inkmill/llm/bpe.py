@@ -21,13 +21,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .pieces import Splitter, WordCache, special_tokens, tokenizer_file
 
 #: Characters of text that share one pair occurrence index.
-RUN_CHARS = 24 << 20
+RUN_CHARS = 12 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -180,7 +181,7 @@ def runs(batches: Iterable[pa.RecordBatch], column: str, chars: int = RUN_CHARS)
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum([len(t or "") for t in batch.column(column).to_pylist()])
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0
@@ -191,18 +192,16 @@ def runs(batches: Iterable[pa.RecordBatch], column: str, chars: int = RUN_CHARS)
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens and input_ids (array of int) of every document."""
-    schema = T.StructType([docs.schema[c] for c in keep]).add("n_tokens", "long").add("input_ids", "array<int>")
+    schema = T.StructType([docs.schema[c] for c in keep]).add("n_tokens", "long").add("input_ids", T.ArrayType(T.IntegerType()))
     wanted = list(dict.fromkeys([*keep, text]))
 
     def run(batches):
         _, cache = coder(tokenizer)
         for batch in runs(batches, text):
-            ids = cache.encode([t or "" for t in batch.column(text).to_pylist()])
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+            ids, offsets = cache.encode(batch.column(text))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(lengths), pa.ListArray.from_arrays(offsets, flat)],
+                [*(batch.column(c) for c in keep), pa.array(np.diff(offsets)), lists],
                 names=schema.fieldNames(),
             )
 
@@ -230,13 +229,14 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         bpe, cache = coder(tokenizer)
         for batch in runs(batches, "text"):
-            ids = cache.encode([t or "" for t in batch.column("text").to_pylist()])
-            decoded = (bpe.decode(np.frombuffer(x, "<u4")) for x in ids)
+            ids, offsets = cache.encode(batch.column("text"))
+            each = np.split(ids, offsets[1:-1])
+            decoded = (bpe.decode(x) for x in each)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                    pa.array(np.diff(offsets)),
+                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each]),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
                 ],
                 names=schema.fieldNames(),

@@ -10,6 +10,9 @@ import functools
 import json
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Where the splitting library and ``regex`` agree on letters and digits (checked for every code
@@ -60,26 +63,34 @@ class Splitter:
         return [text[a:b] for _, (a, b) in self._slow(text)]
 
     def pieces_of_words(self, words: list[str]) -> list[list[str]]:
-        """The pieces of each word as it stands after a space. A piece that begins with a space
+        """The pieces of ``WordCache``'s words. A piece that begins with a space or a line break
         begins a word, so all words are split as one text."""
         out: list[list[str]] = []
-        for p in self.pieces(" " + " ".join(words)) if words else ():
-            if p[0] == " ":
+        for p in self.pieces("".join(map(as_it_stands, words))):
+            if p[0] == " " or p[0] == "\n":
                 out.append([p])
             else:
                 out[-1].append(p)
         return out
 
 
+def as_it_stands(word: str) -> str:
+    """A word of ``WordCache`` with the white space before it."""
+    return word if word[0] == "\n" else " " + word
+
+
 class WordCache:
-    """``encode(texts)``: each text's ids as little-endian unsigned 32-bit bytes.
-
-    Texts are cut before single spaces, where a piece always begins, so that a repeated word costs
-    one look-up. ``encode_words(words)`` gets words not met before, to be encoded as they stand
-    after a space; ``encode_plain(texts)`` gets the rest: the first word of each text, and whole
-    texts with longer runs of white space. Both return ids of each string, and neither sees a
-    special token. About ``limit`` words are kept from one call to the next; others are encoded
-    again when they come back.
+    """``encode(texts)``: the ids of all texts one after another, and where each text's begin.
+
+    Texts are cut before single spaces and line breaks, where a piece always begins, and each
+    distinct word of a batch is looked up once. ``encode_words(words)`` gets words not met before,
+    to be encoded after the space or with the line break that stands before them
+    (``as_it_stands``); ``encode_plain(texts)`` gets the rest: the first word of each text, and
+    whole texts with longer runs of white space. Both return each string's ids as little-endian
+    unsigned 32-bit bytes, and neither sees a special token.
+
+    Words are kept in two generations: when the newer one holds ``limit`` words it becomes the
+    older one, and the words that were not met since the last such change are forgotten.
     """
 
     def __init__(
@@ -87,45 +98,76 @@ class WordCache:
         splitter: Splitter,
         encode_words: Callable[[list[str]], Iterable[bytes]],
         encode_plain: Callable[[list[str]], Iterable[bytes]],
-        limit: int = 600_000,
+        limit: int = 250_000,
     ):
         self._by_special = splitter.by_special
         self._special = {k: v.to_bytes(4, "little") for k, v in splitter.special.items()}
         self._encode_words, self._encode_plain, self._limit = encode_words, encode_plain, limit
-        self._known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # each text as (plain strings and special tokens in turn, words after the first string)
-        plain: list[list[str]] = []
-        rest: list[list[str]] = []
-        for t in texts:
-            if any(x in t for x in self._special):
-                plain.append(self._by_special(t))
-                rest.append([])
-            else:
-                words = t.split(" ")
-                plain.append(words[:1])
-                rest.append(words[1:])
-        distinct = set().union(*rest)
-        # an empty word, or one that begins with white space, is part of a longer run of it
-        loose = {w for w in distinct if not w or w[0].isspace()}
-        if loose:
-            for i, w in enumerate(rest):
-                if not loose.isdisjoint(w):
-                    plain[i], rest[i] = [texts[i]], []
-            distinct = set().union(*rest)
-        known = self._known
-        missing = list(distinct.difference(known))
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``texts`` (null: empty) and one more offset than there are texts."""
+        n = len(texts)
+        if not n:
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        flat = words.flatten()
+        coded = flat.dictionary_encode()
+        distinct: list[str] = coded.dictionary.to_pylist()
+        at = coded.indices.to_numpy().astype(np.int64)
+        first = offsets[:-1]
+        heads = flat.take(pa.array(first)).to_pylist()
+
+        # texts that are not cut at spaces: those with special tokens, and those with an empty word or one that
+        # begins with other white space, which is part of a longer run of it
+        loose = np.fromiter((not w or w[0].isspace() and (w[0] != "\n" or len(w) == 1 or w[1].isspace()) for w in distinct), bool, len(distinct))
+        hits = loose[at]
+        hits[first] = False
+        whole = np.add.reduceat(hits, first, dtype=np.int64) > 0
+        for token in self._special:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(whole).tolist():
+            heads[i] = texts[i].as_py()
+
+        # entries: the distinct words, the heads (or whole texts), and one without ids
+        used = np.zeros(len(distinct), bool)
+        rest = np.repeat(~whole, np.diff(offsets))
+        rest[first] = False
+        used[at[rest]] = True
+        known = self._learn([w for w, u in zip(distinct, used.tolist(), strict=True) if u])
+        entries = [known[w] if u else b"" for w, u in zip(distinct, used.tolist(), strict=True)]
+        entries += self._plain(heads)
+        entries.append(b"")
+        at[~rest] = len(entries) - 1
+        at[first] = np.arange(len(distinct), len(distinct) + n)
+
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        arena = np.frombuffer(b"".join(entries), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        ids = arena[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(ends[-1])]
+        if len(known) > self._limit:
+            self._old, self._new = known, {}
+        return ids, np.concatenate(([0], ends))[offsets]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        parts = [self._by_special(t) for t in texts]
+        found = iter(self._encode_plain([p for ps in parts for p in ps[::2]]))
+        return [
+            next(found) if len(ps) == 1 else b"".join([self._special[p] if i % 2 else next(found) for i, p in enumerate(ps)]) for ps in parts
+        ]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of all ``words`` (and others)."""
+        known, old = self._new, self._old
+        missing = [w for w in words if w not in known]
+        if old:
+            known.update([(w, old[w]) for w in missing if w in old])
+            missing = [w for w in missing if w not in old]
         if missing:
-            found = zip(missing, self._encode_words(missing), strict=True)
-            if len(known) < self._limit:
-                known.update(found)
-            else:
-                known = {w: known[w] for w in distinct if w in known} | dict(found)
-        get = known.__getitem__
-        heads = iter(self._encode_plain([p for parts in plain for p in parts[::2]]))
-        out = []
-        for parts, words in zip(plain, rest, strict=True):
-            ids = [next(heads) if i % 2 == 0 else self._special[p] for i, p in enumerate(parts)]
-            out.append(b"".join([*ids, *map(get, words)]))
-        return out
+            known.update(zip(missing, self._encode_words(missing), strict=True))
+        return known

@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .bpe import runs
+from .bpe import byte_letters, runs
 from .common import Scratch
-from .pieces import Splitter, WordCache, tokenizer_file
+from .pieces import Splitter, WordCache, as_it_stands, tokenizer_file
 
 _SAMPLE = 64
 #: A segment is closed at so many documents or ids, whichever comes first.
 SEGMENT_DOCS, SEGMENT_IDS = 4096, 2 << 20
+#: Characters of text that are encoded at once.
+RUN_CHARS = 16 << 20
 
 
 class EliasFano:
@@ -103,30 +105,27 @@ def _cache(path: str) -> tuple[WordCache, int]:
     tok.no_truncation()
     tok.no_padding()
     splitter = Splitter(path)
-    mark, mark_id = next(iter(splitter.special.items()), ("", -1))
+    spec = tokenizer_file(path)
+    vocab: dict[str, int] = spec["model"]["vocab"]
+    top = max([*vocab.values(), *splitter.special.values()])
+    letters = byte_letters()
+    begins = np.zeros(top + 1, bool)  # tokens that begin with a space or a line break
+    begins[[i for t, i in vocab.items() if t[0] in (letters[32], letters[10])]] = True
 
     def encode_plain(texts: list[str]):
-        if not mark:
-            for e in tok.encode_batch_fast(texts, add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-            return
-        # a special token between texts keeps them apart and costs less than a call for each
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and end - at < 512 and size < 1 << 16:
-                size += len(texts[end])
-                end += 1
-            ids = np.array(tok.encode_batch_fast([mark.join(texts[at:end])], add_special_tokens=False)[0].ids, "<u4")
-            marks = np.flatnonzero(ids == mark_id)
-            raw = ids.tobytes()
-            for i, j in zip([0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), len(raw)], strict=True):
+        for e in tok.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def encode_words(words: list[str]):
+        # as one text: a token that begins with white space begins a word
+        for at in range(0, len(words), 512):
+            some = "".join(map(as_it_stands, words[at : at + 512]))
+            ids = np.array(tok.encode_batch_fast([some], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(begins[ids])).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True):
                 yield raw[i:j]
-            at = end
 
-    spec = tokenizer_file(path)
-    top = max([*spec["model"]["vocab"].values(), *splitter.special.values()])
-    return WordCache(splitter, lambda words: encode_plain([" " + w for w in words]), encode_plain), 2 if top < 1 << 16 else 4
+    return WordCache(splitter, encode_words, encode_plain), 2 if top < 1 << 16 else 4
 
 
 _SEGMENT = (
@@ -145,7 +144,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, par
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("at"))
     # the row's number spreads one id's repeated rows over ranges, too
     ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "at").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "at")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def write(batches):
         from pyspark import TaskContext
@@ -153,36 +152,38 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, par
         part = TaskContext.get().partitionId()
         cache, width = _cache(tokenizer)
         before = segment = 0
-        held_ids: list[bytes] = []
+        held_ids: list[np.ndarray] = []
         held_docs: list[int | None] = []
+        lengths: list[int] = []
         size = 0
 
         def close():
-            nonlocal before, segment, held_ids, held_docs, size
-            lengths = np.fromiter(map(len, held_ids), np.int64, len(held_ids)) // 4
+            nonlocal before, segment, held_ids, held_docs, lengths, size
             known = np.array([d for d in held_docs if d is not None], np.int64)
             first = int(known[0]) if len(known) else 0
             gaps = known.astype(np.uint64) - np.uint64(first & (1 << 64) - 1)
-            flat = np.frombuffer(b"".join(held_ids), "<u4")
+            flat = np.concatenate(held_ids)
             row = {
-                "part": part, "segment": segment, "before": before, "n_docs": len(held_ids), "n_ids": len(flat),
+                "part": part, "segment": segment, "before": before, "n_docs": len(held_docs), "n_ids": len(flat),
                 "null_docs": len(held_docs) - len(known), "first_doc": first, "width": width,
                 "ids": flat.astype(f"<u{width}").tobytes(),
                 "boundaries": EliasFano.build(np.concatenate(([0], np.cumsum(lengths)))).to_bytes(),
                 "doc_ids": EliasFano.build(gaps).to_bytes(),
             }
             before, segment = before + len(flat), segment + 1
-            held_ids, held_docs, size = [], [], 0
+            held_ids, held_docs, lengths, size = [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_arrow)
 
         for batch in batches:
-            for some in runs([batch], "text"):
-                for doc, ids in zip(some.column("doc_id").to_pylist(), cache.encode([t or "" for t in some.column("text").to_pylist()]), strict=True):
-                    if held_docs and (len(held_docs) >= SEGMENT_DOCS or size + len(ids) // 4 > SEGMENT_IDS):
+            for some in runs([batch], "text", RUN_CHARS):
+                ids, offsets = cache.encode(some.column("text"))
+                for doc, one in zip(some.column("doc_id").to_pylist(), np.split(ids, offsets[1:-1]), strict=True):
+                    if held_docs and (len(held_docs) >= SEGMENT_DOCS or size + len(one) > SEGMENT_IDS):
                         yield close()
-                    held_ids.append(ids + end)
+                    held_ids += (one, end)
                     held_docs.append(doc)
-                    size += len(ids) // 4 + 1
+                    lengths.append(len(one) + 1)
+                    size += len(one) + 1
         if held_docs:
             yield close()
 
