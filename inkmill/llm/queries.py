@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, sharding, simhash, token_store, url_filter
+from . import binary_search, bpe, chat, langid, mixing, sharding, simhash, token_store, url_filter, vector_tree
 from .common import table
 
 #: Fixed values of the URL query's contract: (verdict, host, path).
@@ -31,10 +31,21 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors by sign codes of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    codes = vectors.select(F.col("vec_id").alias("id"), binary_search.sign_code(F.col("embedding")).alias("code"))
+    return binary_search.search(codes, F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,6 +54,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.contract_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_tree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return out.select(
@@ -50,6 +65,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document at least once, and no source more than four times over."""
+    return mixing.mix(table(spark, sf_dir, "documents"), repetition=4.0)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(EXTRA_CHAT, "conv_id long, turn long, role string, text string")
@@ -61,14 +81,33 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op4_vector_tree": op4_vector_tree,
     "op5_sharding": op5_sharding,
+    "op6_binary_search": op6_binary_search,
     "op7_token_store": op7_token_store,
+    "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_url_filter": op10_url_filter,
 }
 
+#: All other rows ranked by the number of components whose signs differ.
+_OP6_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) BETWEEN 1 AND 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+), d AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+    min(len(list_filter(range(1, 65), lambda i: coalesce(a.s[i], false) <> coalesce(b.s[i], false))))::INTEGER AS distance
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM d
+)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
 #: Each row's own share of the formatted length: its text with escapes, and what goes before and after it.
 _OP9_SQL = r"""
 WITH t AS (
@@ -92,4 +131,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_binary_search": _OP6_SQL, "op9_chat_formatting": _OP9_SQL}
