@@ -7,7 +7,9 @@ visited is calibrated: the exact neighbours of a bounded set of queries are foun
 and visits are widened until the wanted share of them lies in visited leaves.
 
 Rows of a leaf and the queries that visit it meet in blocks of bounded size, so a leaf or a query
-vector with a third of all rows is many tasks. Scores are inner products in double precision.
+vector with a third of all rows is many tasks. The first few leaves give each query k hits; the
+others return only what scores at least as high as the worst of them, so that hits do not grow
+with the number of visits. Scores are inner products in double precision.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 #: Rows the tree is fitted on, children of a node, rows wanted in a leaf, and most leaves.
-SAMPLE_ROWS, BRANCH, LEAF_ROWS, MAX_LEAVES = 20_000, 8, 256, 4096
+SAMPLE_ROWS, BRANCH, LEAF_ROWS, MAX_LEAVES = 20_000, 8, 1024, 4096
 #: Queries whose exact neighbours calibrate the visits, and the share of them to be reached.
-CALIBRATION_QUERIES, TARGET_RECALL = 200, 0.97
+CALIBRATION_QUERIES, TARGET_RECALL = 200, 0.96
+#: Leaves visited first; what they give is the bar for hits of the other leaves.
+FIRST_LEAVES = 4
 #: Rows of a leaf, and of its queries, that meet at once.
 BLOCK = 2048
 
@@ -110,14 +114,16 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist() if hasattr(column, "to_pylist") else list(column), np.float64)
 
 
-def exact_top(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of the ``k`` largest inner products for each query, ties to smaller ids.
+def exact_top(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, bar: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, scores) of the ``k`` largest inner products for each query, ties to smaller ids, none below ``bar``.
 
     A matrix product finds candidates; those near the k-th are scored again one by one, so that
     equal vectors have equal scores wherever they stand.
     """
     rough = q @ x.T
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
+    if bar is not None:
+        rough[rough < (bar - 1e-9 * (1 + np.abs(np.nan_to_num(bar, neginf=0.0))))[:, None]] = -np.inf
     out = []
     for i in range(len(q)):
         r = rough[i]
@@ -127,6 +133,8 @@ def exact_top(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray,
         else:
             at = np.flatnonzero(np.isfinite(r))
         score = (x[at] * q[i]).sum(1)
+        if bar is not None:
+            at, score = at[score >= bar[i]], score[score >= bar[i]]
         best = np.lexsort((ids[at], -score))[:k]
         out.append((ids[at][best], score[best]))
     return out
@@ -197,26 +205,37 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, target: float
         t = shared.value
         for b in batches:
             ids, vectors_ = b.column("query_id").to_pylist(), b.column("q")
-            at, leaves = [], []
+            at, leaves, turns = [], [], []
             for i, q in enumerate(_matrix(vectors_) if b.num_rows else ()):
                 found = t.visits(q, lambda out: len(out) >= visits and counts[out].sum() > k)
                 at += [i] * len(found)
                 leaves += found
+                turns += range(len(found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in at], pa.int64()), vectors_.take(pa.array(at, pa.int64())), pa.array(leaves, pa.int32())], names=["query_id", "q", "leaf"]
+                [pa.array([ids[i] for i in at], pa.int64()), vectors_.take(pa.array(at, pa.int64())), pa.array(leaves, pa.int32()), pa.array(turns, pa.int32())],
+                names=["query_id", "q", "leaf", "turn"],
             )
 
-    planned = scratch.keep(queries.mapInArrow(plan, "query_id long, q array<float>, leaf int"), "planned")
+    planned = scratch.keep(queries.mapInArrow(plan, "query_id long, q array<float>, leaf int, turn int"), "planned")
+    first = F.col("turn") < FIRST_LEAVES
+    hits = scratch.keep(_best(_meet(index, planned.filter(first).withColumn("bar", F.lit(float("-inf"))), counts, k), k).drop("rank"), "hits")
+    bars = hits.groupBy("query_id").agg(F.min("score").alias("bar"), F.count("*").alias("n")).filter(F.col("n") == k).select("query_id", "bar")
+    rest = planned.filter(~first).join(bars, "query_id", "left").na.fill({"bar": float("-inf")})
+    return _best(hits.unionByName(_meet(index, rest, counts, k)), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(index: DataFrame, planned: DataFrame, counts: np.ndarray, k: int) -> DataFrame:
+    """The best hits of each planned visit, from products of bounded blocks of rows and queries."""
     asked = {r["leaf"]: r["n"] for r in planned.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame(
-        [(i, int(-(-counts[i] // BLOCK)), int(-(-asked[i] // BLOCK))) for i in range(tree.leaves) if counts[i] and asked.get(i)], "leaf int, cs int, qs int"
+    blocks = index.sparkSession.createDataFrame(
+        [(i, int(-(-counts[i] // BLOCK)), int(-(-asked[i] // BLOCK))) for i in range(len(counts)) if counts[i] and asked.get(i)], "leaf int, cs int, qs int"
     )
     # each row of a leaf goes to one of its blocks, beside every block of the leaf's queries, and the reverse
     a = index.join(F.broadcast(blocks), "leaf").select(
         "leaf", F.pmod(F.xxhash64("vec_id"), F.col("cs")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("d"), "vec_id", "embedding"
     )
     b = planned.join(F.broadcast(blocks), "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("d"), "query_id", "q"
+        "leaf", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("d"), "query_id", "q", "bar"
     )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -224,10 +243,9 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, target: float
             return pd.DataFrame(_hits(np.empty(0, np.int64), []))
         x, q = _matrix(left["embedding"]), _matrix(right["q"])
         ids, q_ids = left["vec_id"].to_numpy(np.int64), right["query_id"].to_numpy(np.int64)
-        return pd.DataFrame(_hits(q_ids, exact_top(ids, x, q_ids, q, k)))
+        return pd.DataFrame(_hits(q_ids, exact_top(ids, x, q_ids, q, k, right["bar"].to_numpy(float))))
 
-    hits = a.groupBy("leaf", "c", "d").cogroup(b.groupBy("leaf", "c", "d")).applyInPandas(meet, _HIT)
-    return _best(hits, k).select("query_id", "rank", "vec_id", "score")
+    return a.groupBy("leaf", "c", "d").cogroup(b.groupBy("leaf", "c", "d")).applyInPandas(meet, _HIT)
 
 
 def brute_force(rows: DataFrame, queries: np.ndarray, q_ids: np.ndarray, k: int) -> DataFrame:
