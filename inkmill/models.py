@@ -125,7 +125,10 @@ class HashingEmbedder:
 
 @dataclass
 class KeywordCompleter:
-    """Replies to the extraction prompts by looking for sentences that share words with an event."""
+    """Replies to the extraction prompts by looking for sentences that share words with an event:
+    those of ``hints``, else the longer words of its name."""
+
+    hints: dict[str, list[str]] = field(default_factory=dict)
 
     def complete(self, prompt: str) -> str:
         text = prompt.partition("Text:\n")[2].partition("\nReply with JSON")[0] or prompt.partition("Passages:\n")[2].partition("\nReply with JSON")[0]
@@ -139,9 +142,8 @@ class KeywordCompleter:
             return json.dumps({e: found(e) for e in events})
         return json.dumps({"extractions": [self._record(e, author[1], found(e)) for e in events]})
 
-    @staticmethod
-    def _sentences(text: str, event: str, most: int = 3) -> list[str]:
-        words = {w for w in re.findall(r"[a-z]+", event.lower()) if len(w) > 4}
+    def _sentences(self, text: str, event: str, most: int = 3) -> list[str]:
+        words = set(self.hints.get(event) or (w for w in re.findall(r"[a-z]+", event.lower()) if len(w) > 4))
         return [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if words & set(re.findall(r"[a-z]+", s.lower()))][:most]
 
     @staticmethod
@@ -156,7 +158,7 @@ class OverlapJudge:
     """Scores two lists of claims by the share of the author's words that the primary side has."""
 
     def complete(self, prompt: str) -> str:
-        a, _, b = prompt.partition("Author claims:")
+        a, _, b = prompt.partition("\nReply with JSON")[0].partition("Author claims:")
         left, right = (set(re.findall(r"[a-z]{4,}", x.lower())) for x in (a, b))
         score = round(100 * len(left & right) / len(right)) if right else 0
         contradictions = [] if score >= 50 else [{"type": "omission", "reason": "few words in common"}]

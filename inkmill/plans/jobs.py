@@ -11,17 +11,14 @@ from ..operators import agreement, chunking, claims, documents, evaluation, extr
 from ..schemas import ARCHIVE_META, BOOK_META, DOCUMENT, events
 from ..sources import files
 
-SMALL = F.col("document_type") != "Book"
-
-
 def build_dataset(spark: SparkSession, raw: str, processed: str, books: bool = True, archive: bool = True) -> None:
     """Cleans raw books and archive texts into one data set each."""
     if books:
-        meta = files.read_if_there(spark, f"{raw}/gutenberg/_metadata.json", BOOK_META)
+        meta = files.read_metadata(spark, f"{raw}/gutenberg/_metadata.json", BOOK_META)
         rows = documents.book_documents(meta, files.read_texts(spark, f"{raw}/gutenberg/*.txt"))
         files.write_rows(rows, f"{processed}/books")
     if archive:
-        meta = files.read_if_there(spark, f"{raw}/loc/_metadata.json", ARCHIVE_META)
+        meta = files.read_metadata(spark, f"{raw}/loc/_metadata.json", ARCHIVE_META)
         files.write_rows(documents.archive_documents(meta, files.read_texts(spark, f"{raw}/loc/*.txt")), f"{processed}/archive")
 
 
@@ -38,14 +35,14 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 def batched_pipeline(spark: SparkSession, docs: DataFrame, model: models.Completer) -> DataFrame:
     """Extraction records: books by batches, other documents directly."""
-    big, small = documents.route(_inputs(docs), ~SMALL)
+    big, small = documents.route(_inputs(docs), F.col("document_type") == "Book")
     complete = models.complete_with(model)
     return extraction.batched(big, events(spark), complete).unionByName(extraction.direct(small, complete))
 
 
 def hybrid_pipeline(spark: SparkSession, docs: DataFrame, model: models.Completer, embedder: models.Embedder, index_path: str | None = None) -> DataFrame:
     """Extraction records: books by retrieval of passages for each event, other documents directly."""
-    big, small = documents.route(_inputs(docs), ~SMALL)
+    big, small = documents.route(_inputs(docs), F.col("document_type") == "Book")
     complete = models.complete_with(model, models.Retry(everything=True))
     chunks = chunking.chunk_documents(big, doc_id="id")
     key = ("id", "chunk_id")

@@ -11,13 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import html, links, names, prompts, tokens
 from .functions import text as cleaning
 from .functions.header import parse_header
 from .operators import agreement, chunking, claims, documents, evaluation, retrieval
-from .schemas import events
+from .schemas import EVENTS, events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -610,3 +609,69 @@ def label_join(spark, sf_dir):
     return found.select("lang", "source", "first_id").withColumn("matched", F.lit(True)).unionByName(
         missing.withColumn("first_id", F.lit(None).cast("long")).withColumn("matched", F.lit(False))
     )
+
+
+# ---------------------------------------------------------------- models, jobs and streams
+
+
+def _books(spark, sf_dir):
+    """Documents as the extraction pipelines take them; long ones count as books."""
+    docs = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("n_chars") > 4000, "Book").otherwise("Letter")
+    return docs.select(
+        F.concat(F.lit("doc_"), "doc_id").alias("id"), F.concat(F.lit("Title "), "doc_id").alias("title"), kind.alias("document_type"),
+        F.col("source").alias("from"), F.col("text").alias("content"),
+    )
+
+
+#: Words of the synthetic texts that stand for the events.
+_HINTS = dict(zip(EVENTS, (["of"], ["thand"], ["que"], ["und"], ["bobo"]), strict=True))
+
+
+@query()
+def extract_batched(spark, sf_dir):
+    """Records of all documents: long ones by batches in two stages, the others directly."""
+    from .models import KeywordCompleter
+    from .plans import jobs
+
+    return jobs.batched_pipeline(spark, _books(spark, sf_dir), KeywordCompleter(_HINTS))
+
+
+@query()
+def extract_hybrid(spark, sf_dir):
+    """Records of all documents: long ones by hybrid retrieval for each event, the others directly."""
+    from .models import HashingEmbedder, KeywordCompleter
+    from .plans import jobs
+
+    return jobs.hybrid_pipeline(spark, _books(spark, sf_dir), KeywordCompleter(_HINTS), HashingEmbedder())
+
+
+@query()
+def embed_documents(spark, sf_dir):
+    from .models import HashingEmbedder, embed_with
+
+    return table(spark, sf_dir, "documents").select("doc_id", embed_with(HashingEmbedder(), F.col("text")).alias("embedding"))
+
+
+@query()
+def judge_pairs(spark, sf_dir):
+    """Scores of every comparison pair under every strategy, by word overlap."""
+    from .models import OverlapJudge, judge
+
+    work = evaluation.work_plan(claims.comparison_pairs(*_extractions(spark, sf_dir)), spark)
+    return judge(work, OverlapJudge()).select("event", "author", "prompt_type", "run", "score", "error")
+
+
+@query("SELECT doc_id, lang, len(t)::INTEGER AS n_tokens FROM (SELECT doc_id, lang, " + _TOKENS.format("text") + " AS t FROM documents)")
+def stream_ingest(spark, sf_dir):
+    """The documents read as a stream of files, worked on in micro-batches, and read back."""
+    from .shared import new_folder
+    from .streaming import ingest
+
+    path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    folder = new_folder(spark, "stream")
+    # a pattern, since a stream's plain path has to be a folder and small tables are one file
+    stream = ingest.documents_stream(spark, path.removesuffix(".parquet") + "[.]parquet", spark.read.parquet(path).schema)
+    work = lambda batch: batch.select("doc_id", "lang", F.size(tokens.tokenize(F.col("text"))).alias("n_tokens"))
+    ingest.extract_incrementally(stream, work, f"{folder}/out", f"{folder}/checkpoint", ["doc_id"])
+    return spark.read.schema("doc_id long, lang string, n_tokens int").parquet(f"{folder}/out/batch=*")

@@ -34,6 +34,21 @@ def read_if_there(spark: SparkSession, path: str, schema) -> DataFrame:
     return read_array(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], _schema(schema))
 
 
+def read_metadata(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A small JSON array whose file name begins with ``_``, which Spark's file sources pass over;
+    no rows where there is no such file. The file is read by the driver."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], _schema(schema))
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return spark.createDataFrame([(text,)], "j string").select(F.inline(F.from_json("j", T.ArrayType(_schema(schema)))))
+
+
 def read_records(spark: SparkSession, folder: str, schema, without: Iterable[str] = ()) -> DataFrame:
     """One-record JSON files of a folder with their ``file_name``; named files are left out."""
     rows = spark.read.schema(_schema(schema)).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
