@@ -5,7 +5,8 @@ segment. In round r every open query probes, in each segment, the values that di
 in exactly r bits; a code is taken in the round and segment where it is first met, which its own
 bits tell, so nothing is found twice. After round r all codes within m(r + 1) - 1 bits have been
 met. A query is closed when k verified neighbours lie within that distance, or all codes have been
-met; the others go on to the next radius.
+met; the others go on to the next radius. Codes further than the k-th neighbour so far are passed
+over in the join, so that what a round returns does not grow with the codes it meets.
 
 Codes and query codes are worked on once each, however many rows have them. Of one code only the
 k + 1 smallest ids can be among anyone's k nearest (equal distances go to smaller ids).
@@ -17,6 +18,7 @@ import functools
 import itertools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,6 +56,11 @@ def _segment(code: Column, first: int, width: int) -> Column:
     return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _masks(width: int, radius: int) -> np.ndarray:
+    """All values of ``width`` bits with ``radius`` bits set, as one literal."""
+    return np.array([sum(1 << b for b in bits) for bits in itertools.combinations(range(width), radius)], np.int64)
+
+
 def _flipped(first: int, width: int, mask: Column) -> Column:
     return _segment(F.col("qcode"), first, width).bitwiseXOR(mask)
 
@@ -75,7 +82,7 @@ def search(codes: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     table = F.array(*[F.struct(F.lit(j).alias("seg"), _segment(F.col("code"), *s).alias("val")) for j, s in enumerate(segments)])
     index = scratch.keep(distinct.select("code", "n", F.inline(table)), "index")
-    open_ = scratch.keep(rows.filter("q").select(F.col("code").alias("qcode")).distinct(), "open")
+    open_ = scratch.keep(rows.filter("q").select(F.col("code").alias("qcode"), F.lit(BITS).alias("bar")).distinct(), "open")
     empty = codes.sparkSession.createDataFrame([], "qcode long, id long, distance int")
     best, met = scratch.keep(empty, "best"), None
     parts = []
@@ -84,18 +91,12 @@ def search(codes: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             break
         probes = F.array(
             *[
-                F.struct(
-                    F.lit(j).alias("seg"),
-                    F.transform(
-                        F.array(*[F.lit(sum(1 << b for b in bits)) for bits in itertools.combinations(range(w), radius)]).cast("array<long>"),
-                        functools.partial(_flipped, a, w),
-                    ).alias("vals"),
-                )
+                F.struct(F.lit(j).alias("seg"), F.transform(F.lit(_masks(w, radius)), functools.partial(_flipped, a, w)).alias("vals"))
                 for j, (a, w) in enumerate(segments)
                 if radius <= w
             ]
         )
-        probe = open_.select("qcode", F.inline(probes)).select("qcode", "seg", F.explode("vals").alias("val"))
+        probe = open_.select("qcode", "bar", F.inline(probes)).select("qcode", "bar", "seg", F.explode("vals").alias("val"))
         apart = F.col("code").bitwiseXOR(F.col("qcode"))
         each = [F.bit_count(_segment(apart, *s)) for s in segments]
         # first met here: no segment is nearer, and no earlier one is as near
@@ -106,25 +107,29 @@ def search(codes: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             for e in earlier:
                 ok = ok & e
             here = here | ok
-        found = scratch.keep(
-            probe.join(index, ["seg", "val"]).filter(here).select("qcode", "code", "n", F.bit_count(apart).alias("distance")), "found"
-        )
+        near = here & (F.bit_count(apart) <= F.col("bar"))
+        # Spark takes the exploded probes for a small table; they are not one to broadcast
+        met_now = probe.hint("merge").join(index, ["seg", "val"]).filter(near)
+        found = scratch.keep(met_now.select("qcode", "code", "n", F.bit_count(apart).alias("distance")), "found")
         covered = m * (radius + 1) - 1
-        counts = found.groupBy("qcode").agg(
-            F.sum("n").alias("met"), *[F.sum(F.when(F.col("distance") == d, F.col("n")).otherwise(0)).alias(f"d{d}") for d in range(min(BITS, m * (BITS + 1)) + 1)]
-        )
-        met = scratch.keep(counts if met is None else met.unionByName(counts).groupBy("qcode").agg(*[F.sum(c).alias(c) for c in counts.columns[1:]]), "met")
+        counts = found.groupBy("qcode", "distance").agg(F.sum("n").alias("n"))
+        if met is not None:
+            counts = met.unionByName(counts).groupBy("qcode", "distance").agg(F.sum("n").alias("n"))
+        met = scratch.keep(counts, "met")
         ranked = (
             found.join(least, "code").select("qcode", "id", "distance").unionByName(best)
             .withColumn("r", F.row_number().over(Window.partitionBy("qcode").orderBy("distance", "id")))
             .filter(F.col("r") <= k + 1).drop("r")
         )
         best = scratch.keep(ranked, "best")
-        within = sum((F.col(f"d{d}") for d in range(min(covered, BITS) + 1)), F.lit(0))
-        closed = met.filter((within >= k + 1) | (F.col("met") >= total["n"])).select("qcode")
+        closed = (
+            met.groupBy("qcode").agg(F.sum("n").alias("met"), F.sum(F.when(F.col("distance") <= covered, F.col("n")).otherwise(0)).alias("within"))
+            .filter((F.col("within") >= k + 1) | (F.col("met") >= total["n"])).select("qcode")
+        )
         parts.append(best.join(closed.join(open_, "qcode", "left_semi"), "qcode", "left_semi"))
-        still = open_.join(closed, "qcode", "left_anti")
-        open_ = scratch.keep(still, "open")
+        bars = best.groupBy("qcode").agg(F.max("distance").alias("last"), F.count("*").alias("c"))
+        still = open_.select("qcode").join(closed, "qcode", "left_anti").join(bars, "qcode", "left")
+        open_ = scratch.keep(still.select("qcode", F.when(F.col("c") == k + 1, F.col("last")).otherwise(BITS).alias("bar")), "open")
     result = empty
     for p in parts:
         result = result.unionByName(p)
