@@ -25,10 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import release
 from .pieces import Splitter, WordCache, special_tokens, tokenizer_file
 
 #: Characters of text that share one pair occurrence index.
-RUN_CHARS = 12 << 20
+RUN_CHARS = 8 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -188,6 +189,7 @@ def runs(batches: Iterable[pa.RecordBatch], column: str, chars: int = RUN_CHARS)
             end = max(start + 1, int(np.searchsorted(sizes, base + chars, "right")))
             yield batch.slice(start, end - start)
             start = end
+        release()
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

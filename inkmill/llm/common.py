@@ -56,6 +56,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list]:
+    """(frame, columns): ``used`` columns under their names and all others in one struct, so that
+    columns an operator adds cannot clash with any of theirs; and the columns to select at the end."""
+    others = [c for c in docs.columns if c not in used]
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)
+    back = [F.col(c) if c in used else F.col(f"_others.`{c}`").alias(c) for c in docs.columns]
+    return docs.select(*used, packed.alias("_others")), back
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system.
+
+    Workers outlive their tasks, and both Arrow's pool and the C library keep freed memory, which
+    would add up over the stages of a job to more than any one of them needs.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 #: A-Z to a-z only; ``lower`` would also change other alphabets.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

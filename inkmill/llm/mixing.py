@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, set_aside
 
 BLOCKS, SEED, PROBES = 4096, 11, 129
 #: Sources up to this number have their cuts broadcast (under 16 MB); beyond, Spark picks the join.
@@ -172,5 +172,6 @@ def mix(docs: DataFrame, text: str = "text", **target) -> DataFrame:
 def repeat(docs: DataFrame, text: str = "text", **target) -> DataFrame:
     """``docs`` with every row as often as it is drawn, in its own columns."""
     scratch = Scratch(docs.sparkSession, "mix")
-    drawn = _with_copies(docs, plan(_rows(docs, scratch, text), scratch, **target))
-    return drawn.filter("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(*docs.columns)
+    rows, back = set_aside(docs, "doc_id", "source")
+    drawn = _with_copies(rows, plan(_rows(docs, scratch, text), scratch, **target))
+    return drawn.filter("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(*back)

@@ -22,9 +22,8 @@ _SAFE = regex.compile(
 )
 
 
-@functools.lru_cache(maxsize=4)
 def tokenizer_file(path: str) -> dict:
-    """The parsed tokenizer file, once per process."""
+    """The parsed tokenizer file; large, so coders keep what they need of it and not the whole."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec["pre_tokenizer"] or {}
@@ -35,6 +34,7 @@ def tokenizer_file(path: str) -> dict:
     return spec
 
 
+@functools.lru_cache(maxsize=4)
 def special_tokens(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in tokenizer_file(path)["added_tokens"]}
 
@@ -98,7 +98,7 @@ class WordCache:
         splitter: Splitter,
         encode_words: Callable[[list[str]], Iterable[bytes]],
         encode_plain: Callable[[list[str]], Iterable[bytes]],
-        limit: int = 250_000,
+        limit: int = 120_000,
     ):
         self._by_special = splitter.by_special
         self._special = {k: v.to_bytes(4, "little") for k, v in splitter.special.items()}
