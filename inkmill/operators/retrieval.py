@@ -39,14 +39,17 @@ def keyword_index(units: DataFrame, key: tuple[str, ...], text: str = "text") ->
     """Term frequencies, document frequencies and the average length over all units."""
     tokens = units.select(*key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     postings = tokens.select(*key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    # all statistics come from the postings, which the search reads too, so texts are split once:
+    # counting ``tf`` keeps the shuffled postings the same in every branch, and Spark reuses them
+    n = units.agg(F.count("*").alias("n"))
+    length = postings.agg(F.sum("tf").alias("total")).crossJoin(n).select("n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
     raw = (
-        postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+        postings.groupBy("term").agg(F.count("tf").alias("df")).crossJoin(F.broadcast(n))
         .select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     )
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return KeywordIndex(postings, terms, stats.select("avgdl"), key)
+    return KeywordIndex(postings, terms, length.select("avgdl"), key)
 
 
 def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = KEYWORD_TOP, only: tuple[str, str] | None = None) -> DataFrame:
