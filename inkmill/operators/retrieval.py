@@ -21,6 +21,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT = 60, 0.5, 0.5
 VECTOR_TOP, KEYWORD_TOP, FUSED_TOP, OVERFETCH = 15, 15, 5, 3
 
+#: Up to so many queries (of a few hundred terms at most, so under about 100 MB) are broadcast.
+BROADCAST_QUERIES = 10_000
 #: Scores that agree to this many places are ties, which go to smaller keys.
 PLACES = 9
 
@@ -37,7 +39,10 @@ class KeywordIndex:
 
 def keyword_index(units: DataFrame, key: tuple[str, ...], text: str = "text") -> KeywordIndex:
     """Term frequencies, document frequencies and the average length over all units."""
-    tokens = units.select(*key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    # dealt out by key once: counting terms and adding up scores by (query, key) then need no other
+    # exchange. The number is explicit because scores outgrow the small tables that Spark would merge.
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = units.select(*key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("terms")).repartition(parts, *key)
     postings = tokens.select(*key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
     # all statistics come from the postings, which the search reads too, so texts are split once:
     # counting ``tf`` keeps the shuffled postings the same in every branch, and Spark reuses them
@@ -62,6 +67,8 @@ def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = KEYWORD_TOP
     extra = [only[0]] if only else []
     asked = queries.select("query_id", *[F.col(c).alias("_only") for c in extra], F.explode(tokenize(F.col("query"))).alias("term"))
     asked = asked.groupBy("query_id", *["_only"] * bool(only), "term").agg(F.count("*").alias("qf")).join(index.terms, "term")
+    # few query terms go to the postings, which then stay where they are; many are joined by a shuffle
+    asked = F.broadcast(asked) if queries.count() <= BROADCAST_QUERIES else asked
     hits = index.postings.join(asked, "term").crossJoin(F.broadcast(index.average_length))
     if only:
         hits = hits.filter(F.col(only[1]) == F.col("_only"))
