@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, release, set_aside
 
 SEED = 42
 
@@ -127,6 +127,7 @@ def fingerprints(
                 for xs in (fps, keys)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *lists], names=["id", "fp", "keys"])
+            release()
 
     return docs.select(id_col, text).mapInArrow(run, schema)
 
@@ -228,7 +229,7 @@ def contract_groups(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
 
 
 #: Bits of the long fingerprints, differing bits that five-word similarity 0.8 stands for, and keys.
-LONG_WORDS, TABLES, KEY_BITS = 8, 64, 24
+LONG_WORDS, TABLES, KEY_BITS = 8, 48, 24
 
 
 def similar_bits(similarity: float, bits: int, slack: float = 1.5) -> int:
@@ -242,9 +243,9 @@ def near_copies(docs: DataFrame, id_col: str, shingle: int = 5, similarity: floa
     """(id, fp, component_id) of near copies by long fingerprints.
 
     A link is decided on 512 bits over ``shingle``-word runs, whose differing share estimates
-    ``similarity``; candidates share one of 64 keys of 24 bits of a 256-bit fingerprint over
+    ``similarity``; candidates share one of 48 keys of 24 bits of a 256-bit fingerprint over
     ``key_shingle``-word runs, which edits disturb less. A pair at the threshold shares a key with
-    probability of about 0.95, closer pairs with more.
+    probability of about 0.9, one at 0.85 of about 0.98.
     """
 
     def describe(words):
@@ -264,8 +265,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     repeated ids the first row. Columns are those of ``docs``, which must be a written table."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "dedup")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    # numbered by rank of (doc_id, row) is not needed: the group's choice is made after grouping
+    rows, back = set_aside(docs, "doc_id", "text")
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     groups = near_copies(numbered, "_row", **how).select(F.col("id").alias("_row"), "component_id")
     ids = numbered.select("_row", "doc_id")
     grouped = groups.join(groups.groupBy("component_id").agg(F.count("*").alias("c")).filter("c > 1").select("component_id"), "component_id")
@@ -275,4 +276,4 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     dropped = scratch.keep(members.join(stays, "component_id").filter("_row <> stays").select("_row"), "dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return numbered.join(dropped, "_row", "left_anti").drop("_row")
+    return numbered.join(dropped, "_row", "left_anti").select(*back)
