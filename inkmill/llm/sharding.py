@@ -7,12 +7,17 @@ each round splits the interval around every open target at 4096 candidates, sums
 them over all partitions (map-side combined; at most 4096 sums for each open interval reach the
 driver) and keeps the interval that holds the target, until a boundary lies within the tolerance. Then the rows are exchanged once, by fine bucket.
 
+Documents that are large beside a shard are dealt first, and smaller ones then fill up what each
+shard lacks, so that no boundary has to fall beside a large document. (With many documents to a
+shard there is one tier.)
+
 Copies of one text are neighbours in the order. Only a splitter that falls inside such a group
 divides it, which is what lets a group of a third of all rows be cut into near-equal shards.
 """
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +28,8 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 _BITS = 12
+#: Documents are dealt in tiers, those above a part of a shard's bytes before the others.
+TIERS = (8, 32, 128, 512)
 #: Key parts from the most significant, as (column, bits).
 _PARTS = (("k1", 64), ("k2", 64), ("k3", 64))
 _WIDTH = sum(b for _, b in _PARTS)
@@ -71,7 +78,7 @@ def _prefix_values(low: int, level: int) -> list[int]:
     return out
 
 
-def _splitters(keys: DataFrame, total: int, wanted: list[tuple[int, int]]) -> list[int]:
+def _splitters(keys: DataFrame, wanted: list[tuple[float, float]]) -> list[int]:
     """A key for each (target bytes, tolerance): the bytes below it are within the tolerance
     of the target, or as near as a single row allows."""
     found: list[int | None] = [None] * len(wanted)
@@ -149,7 +156,7 @@ def shard_by_bytes(
     """(doc_id, size, text_crc32, shard, slot): shards of near-equal bytes, slots gapless from 0.
 
     ``size`` is the text's UTF-8 bytes plus 1. A shard's bytes differ from the mean by at most
-    ``tolerance`` of it at either end, or by one document where documents are larger than that.
+    ``tolerance`` of it at either end or by one document of the smallest tier that fills them up.
     ``buckets_per_shard`` sets how many tasks number the rows of one shard.
 
     Defined cases: a null text has size 1 and checksum 0; a null id is an ordinary key value;
@@ -171,23 +178,41 @@ def shard_by_bytes(
         "keys",
     )
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
-    fine = shards * buckets_per_shard
-    exact, loose = int(tolerance * total / shards), int(total / fine / 4)
-    wanted = [(total * i // fine, exact if i % buckets_per_shard == 0 else loose) for i in range(1, fine)]
-    cuts = _splitters(keys, total, wanted) if total else []
-    edges = cuts[buckets_per_shard - 1 :: buckets_per_shard] if cuts else []
-    splitters = sorted(set(cuts))
-    numbered = _bucket(keys, splitters, spark)
-    counts = {r["bucket"]: r["n"] for r in numbered.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-    offsets, taken = [], [0] * shards
-    for b in range(len(splitters) + 1):
-        shard = bisect_right(edges, splitters[b - 1]) if b else 0
-        offsets.append((b, shard, taken[shard]))
-        taken[shard] += counts.get(b, 0)
+    tier = F.lit(len(TIERS))
+    for i, t in reversed(list(enumerate(TIERS))):
+        tier = F.when(F.col("size") > total // (shards * t), i).otherwise(tier)
+    sizes = {r["tier"]: r["b"] for r in keys.groupBy(tier.alias("tier")).agg(F.sum("size").alias("b")).collect()}
+    numbered, offsets = [], []
+    rows_in, bytes_in = [0] * shards, [0] * shards
+    for at_tier, own in sorted(sizes.items()):
+        part = keys.filter(tier == at_tier)
+        # what each shard lacks, in proportion to what there is
+        need = [max(0.0, total / shards - b) for b in bytes_in]
+        shares = [own * x / sum(need) for x in need]
+        wanted, below = [], 0.0
+        for shard, share in enumerate(shares):
+            wanted += [(below + share * i / buckets_per_shard, share / buckets_per_shard / 4) for i in range(1, buckets_per_shard)]
+            below += share
+            if shard < shards - 1:
+                wanted.append((below, tolerance * total / shards))
+        cuts = _splitters(part, wanted)
+        edges, splitters = sorted(cuts[buckets_per_shard - 1 :: buckets_per_shard]), sorted(set(cuts))
+        placed = _bucket(part, splitters, spark).withColumn("bucket", F.col("bucket") + len(offsets))
+        sums = {r["bucket"]: r for r in placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
+        for i in range(len(splitters) + 1):
+            shard, at = bisect_right(edges, splitters[i - 1]) if i else 0, len(offsets)
+            offsets.append((at, shard, rows_in[shard]))
+            if at in sums:
+                rows_in[shard] += sums[at]["n"]
+                bytes_in[shard] += sums[at]["b"]
+        numbered.append(placed)
+    if not numbered:
+        return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, shard int, slot long")
     where = F.broadcast(spark.createDataFrame(offsets, "bucket int, shard int, offset long"))
     order = Window.partitionBy("bucket").orderBy("k1", "k2", "k3")
     return (
-        numbered.withColumn("n", F.row_number().over(order))
+        functools.reduce(DataFrame.unionByName, numbered)
+        .withColumn("n", F.row_number().over(order))
         .join(where, "bucket")
         .select("doc_id", "size", "text_crc32", "shard", (F.col("n") - 1 + F.col("offset")).alias("slot"))
     )

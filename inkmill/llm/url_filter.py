@@ -104,7 +104,7 @@ def fit(labelled: DataFrame, scratch: Scratch, max_rows: int = 40_000, trees: in
     """
     share = F.count("*").alias("n"), F.sum("blocked").alias("b")
     by_suffix = labelled.groupBy("suffix").agg(*share)
-    everything = labelled.agg(F.count("*").alias("all"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("blocked"), F.count_distinct("suffix").alias("suffixes")).first()
+    everything = labelled.agg(F.count("*").alias("all"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("blocked")).first()
     n, b = everything["all"], everything["blocked"]
     suffixes = scratch.keep(
         by_suffix.select(
