@@ -3,8 +3,8 @@
 Each text becomes one fingerprint; documents with equal fingerprints are one row from then on.
 Tables of keys are built from blocks of fingerprint bits so that close pairs share a key in some
 table: for at most d differing bits, the bits are split into d + k blocks and each choice of k
-blocks is a table, of which one is untouched (exact). For long fingerprints compared at a
-similarity, keys are fixed choices of bits and the recall is a matter of their number.
+blocks is a table, of which one is untouched (exact). ``keep_one``, which goes by a similarity of
+word runs instead, takes its groups from ``near_copies``.
 
 Pairs within a key's group are not enumerated. First every member is compared with one leader of
 the group (its most copied fingerprint) and verified links are joined into components. Then only
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_copies
 from .common import Scratch, connected_components, release, set_aside
 
 SEED = 42
@@ -95,11 +96,6 @@ def block_tables(bits: int = 64, distance: int = 3, kept: int = 2) -> list[np.nd
     return [np.concatenate(c) for c in itertools.combinations(blocks, kept)]
 
 
-def sampled_tables(bits: int, tables: int, key_bits: int) -> list[np.ndarray]:
-    """``tables`` fixed choices of ``key_bits`` positions."""
-    return [np.sort(np.random.default_rng(t).choice(bits, key_bits, replace=False)) for t in range(tables)]
-
-
 def fingerprints(
     docs: DataFrame, id_col: str, describe: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], tables: list[np.ndarray], text: str = "text"
 ) -> DataFrame:
@@ -228,34 +224,6 @@ def contract_groups(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     )
 
 
-#: Bits of the long fingerprints, differing bits that five-word similarity 0.8 stands for, and keys.
-LONG_WORDS, TABLES, KEY_BITS = 8, 48, 24
-
-
-def similar_bits(similarity: float, bits: int, slack: float = 1.5) -> int:
-    """Differing bits expected of two sets with this Jaccard similarity, and ``slack`` standard
-    deviations more so that pairs at the threshold itself are mostly caught."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
-
-
-def near_copies(docs: DataFrame, id_col: str, shingle: int = 5, similarity: float = 0.8, key_shingle: int = 3) -> DataFrame:
-    """(id, fp, component_id) of near copies by long fingerprints.
-
-    A link is decided on 512 bits over ``shingle``-word runs, whose differing share estimates
-    ``similarity``; candidates share one of 48 keys of 24 bits of a 256-bit fingerprint over
-    ``key_shingle``-word runs, which edits disturb less. A pair at the threshold shares a key with
-    probability of about 0.9, one at 0.85 of about 0.98.
-    """
-
-    def describe(words):
-        bits = fingerprint_bits(shingle_hashes(words, shingle), LONG_WORDS)
-        return bits, fingerprint_bits(shingle_hashes(words, key_shingle), 4)
-
-    prints = fingerprints(docs, id_col, describe, sampled_tables(256, TABLES, KEY_BITS))
-    return near_groups(prints, LONG_WORDS, similar_bits(similarity, 64 * LONG_WORDS))
-
-
 #: Up to so many dropped rows are broadcast (as 8-byte numbers, under 64 MB); beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -267,7 +235,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     scratch = Scratch(spark, "dedup")
     rows, back = set_aside(docs, "doc_id", "text")
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    groups = near_copies(numbered, "_row", **how).select(F.col("id").alias("_row"), "component_id")
+    groups = near_copies.groups(numbered, "_row", **how).select(F.col("id").alias("_row"), "component_id")
     ids = numbered.select("_row", "doc_id")
     grouped = groups.join(groups.groupBy("component_id").agg(F.count("*").alias("c")).filter("c > 1").select("component_id"), "component_id")
     members = scratch.keep(grouped.join(ids, "_row"), "members")

@@ -185,3 +185,43 @@ def test_binary_search_of_few_or_none(spark):
 
 def test_binary_search_query(spark, sf_dir):
     same(queries.op6_binary_search(spark, sf_dir), connect(sf_dir).sql(queries.ORACLE_SQL["op6_binary_search"]))
+
+
+def passages(seed, n, jaccards):
+    """Random texts and, of each, one with a passage added at its end for each five-word similarity asked for."""
+    r = random.Random(seed)
+    text = lambda k: [f"w{r.getrandbits(40):x}" for _ in range(k)]
+    rows = []
+    for i in range(n):
+        base = text(404)  # 400 runs of five words
+        rows.append((i, " ".join(base), None))
+        for k, j in enumerate(jaccards):
+            total = int(400 / j) if j >= 0.8 else round(400 / j)  # all 400 runs stay, out of ``total``
+            rows.append((1000 * (k + 1) + i, " ".join(base + text(total - 400)), j))
+    return rows
+
+
+def test_passage_sized_edits_from_the_threshold_up(spark, tmp_path):
+    rows = passages(11, 60, [0.8, 0.81, 0.85, 0.95])
+    spark.createDataFrame(rows, "doc_id long, text string, j double").write.parquet(str(tmp_path / "d"))
+    kept = sorted(x.doc_id for x in simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert kept == list(range(60))
+
+
+def test_near_duplicates_are_those_of_brute_force(spark, sf_dir):
+    """Every pair from 0.8 up is one group, and nothing else is: also on the given texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    sets = [{tuple(w[i : i + 5]) for w in [r.text.lower().split()] for i in range(max(1, len(w) - 4))} for r in rows]
+    roots = groups_of(len(rows), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == [r.doc_id for i, r in enumerate(rows) if roots[i] == i]
+
+
+def test_a_passage_that_all_texts_share_joins_none(spark, tmp_path):
+    r = random.Random(2)
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, common + " " + " ".join(f"w{r.getrandbits(40):x}" for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:50]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    assert sorted(x.doc_id for x in simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect()) == list(range(300))
