@@ -225,3 +225,10 @@ def test_a_passage_that_all_texts_share_joins_none(spark, tmp_path):
     rows += [(1000 + i, t + " more") for i, t in rows[:50]]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     assert sorted(x.doc_id for x in simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect()) == list(range(300))
+
+
+def test_no_text_is_dropped_below_the_threshold(spark, tmp_path):
+    rows = passages(12, 60, [0.79, 0.75, 0.7])
+    spark.createDataFrame(rows, "doc_id long, text string, j double").write.parquet(str(tmp_path / "d"))
+    kept = sorted(x.doc_id for x in simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert kept == sorted(i for i, _, _ in rows)
