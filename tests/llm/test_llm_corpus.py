@@ -1,6 +1,7 @@
 """Language identification, mixing and the pipeline."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -54,6 +55,23 @@ def test_predictions_do_not_see_labels(spark, sf_dir):
     assert one == two
 
 
+def test_texts_of_no_learned_language_are_rejected_at_every_length(spark, sf_dir):
+    r = random.Random(4)
+    russian = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью".split()
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki".split()
+    rows = [(f"{k}{n}", " ".join(r.choice(words) for _ in range(n))[:n]) for k, words in (("ru", russian), ("fi", finnish)) for n in (5, 10, 20, 40, 80, 300) for _ in range(50)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = langid.held_out(F.col("doc_id"))
+    short = [docs.filter(held).select(F.lit(f"own{n}").alias("k"), F.substring("text", 1, n).alias("text")) for n in (10, 20, 80)]
+    everything = spark.createDataFrame(rows, "k string, text string")
+    for s in short:
+        everything = everything.unionByName(s)
+    model = langid.fit(docs, ~held)
+    share = {x.k: x.r for x in langid.predict(everything, model).groupBy("k").agg(F.avg(F.col("rejected").cast("int")).alias("r")).collect()}
+    assert all(share[f"ru{n}"] >= 0.9 for n in (5, 10, 20, 40, 80, 300)) and share["fi300"] >= 0.9, share
+    assert all(share[f"own{n}"] <= 0.05 for n in (10, 20, 80)), share
+
+
 def test_clusters_are_unit_vectors():
     x = np.eye(6)[np.arange(60) % 6].astype(np.float32)
     c = langid.spherical_kmeans(x, 4)
