@@ -4,7 +4,7 @@ A 64-bit code is cut into m segments of about log2(N) bits. All distinct codes a
 segment. In round r every open query probes, in each segment, the values that differ from its own
 in exactly r bits; a code is taken in the round and segment where it is first met, which its own
 bits tell, so nothing is found twice. After round r all codes within m(r + 1) - 1 bits have been
-met. A query is closed when k verified neighbours lie within that distance, or all codes have been
+met. A query is closed when k + 1 verified ids lie within that distance, or all codes have been
 met; the others go on to the next radius. Codes further than the k-th neighbour so far are passed
 over in the join, so that what a round returns does not grow with the codes it meets.
 
@@ -118,12 +118,15 @@ def search(codes: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         met = scratch.keep(counts, "met")
         ranked = (
             found.join(least, "code").select("qcode", "id", "distance").unionByName(best)
+            # one id with several codes takes one place, with its nearest
+            .groupBy("qcode", "id").agg(F.min("distance").alias("distance"))
             .withColumn("r", F.row_number().over(Window.partitionBy("qcode").orderBy("distance", "id")))
             .filter(F.col("r") <= k + 1).drop("r")
         )
         best = scratch.keep(ranked, "best")
+        within = best.filter(F.col("distance") <= covered).groupBy("qcode").agg(F.count("*").alias("within"))
         closed = (
-            met.groupBy("qcode").agg(F.sum("n").alias("met"), F.sum(F.when(F.col("distance") <= covered, F.col("n")).otherwise(0)).alias("within"))
+            met.groupBy("qcode").agg(F.sum("n").alias("met")).join(within, "qcode", "left")
             .filter((F.col("within") >= k + 1) | (F.col("met") >= total["n"])).select("qcode")
         )
         parts.append(best.join(closed.join(open_, "qcode", "left_semi"), "qcode", "left_semi"))

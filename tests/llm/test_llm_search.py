@@ -232,3 +232,22 @@ def test_no_text_is_dropped_below_the_threshold(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, j double").write.parquet(str(tmp_path / "d"))
     kept = sorted(x.doc_id for x in simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect())
     assert kept == sorted(i for i, _, _ in rows)
+
+
+def test_ids_with_several_codes_take_one_place_each(spark):
+    r = random.Random(6)
+    rows = [(i, r.getrandbits(62)) for i in range(60)]
+    for i in range(1, 4):  # ids whose many codes all lie beside the query's own
+        rows += [(i, rows[0][1] ^ (1 << a) ^ (1 << b)) for a in range(8) for b in range(a)]
+    rows += [(0, rows[0][1] ^ (1 << a)) for a in range(20)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    got = [(x.query_id, x.rank, x.id, x.distance) for x in binary_search.search(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    wanted = []
+    for q in (0, 20, 40):
+        best = {}
+        for a in [c for i, c in rows if i == q]:
+            for i, c in rows:
+                if i != q:
+                    best[i] = min(best.get(i, 64), (a ^ c).bit_count())
+        wanted += [(q, k + 1, i, d) for k, (d, i) in enumerate(sorted((d, i) for i, d in best.items())[:10])]
+    assert got == wanted
