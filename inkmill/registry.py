@@ -673,5 +673,5 @@ def stream_ingest(spark, sf_dir):
     # a pattern, since a stream's plain path has to be a folder and small tables are one file
     stream = ingest.documents_stream(spark, path.removesuffix(".parquet") + "[.]parquet", spark.read.parquet(path).schema)
     work = lambda batch: batch.select("doc_id", "lang", F.size(tokens.tokenize(F.col("text"))).alias("n_tokens"))
-    ingest.extract_incrementally(stream, work, f"{folder}/out", f"{folder}/checkpoint", ["doc_id"])
+    ingest.extract_incrementally(stream, work, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema("doc_id long, lang string, n_tokens int").parquet(f"{folder}/out/batch=*")

@@ -19,14 +19,14 @@ def documents_stream(spark: SparkSession, folder: str, schema, files_per_batch:
 
 
 def extract_incrementally(
-    stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str], partition_by: list[str] | None = None
+    stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str] | None = None, partition_by: list[str] | None = None
 ):
     """Runs over what has arrived and stops. ``work`` is a batch function; of rows with equal ``keys``
-    within a batch one is kept; with ``partition_by`` a batch replaces its partitions, else it is
+    within a batch one is kept, without ``keys`` all are; with ``partition_by`` a batch replaces its partitions, else it is
     written to a folder of its own."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = work(batch.dropDuplicates(keys))
+        rows = work(batch.dropDuplicates(keys) if keys else batch)
         if partition_by:
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(out)
         else:

@@ -41,3 +41,12 @@ def test_embeddings_are_of_length_one(spark, sf_dir):
     rows = registry.QUERIES["embed_documents"](spark, sf_dir)
     far = rows.select(norm(rows.embedding).alias("n")).filter("n > 0 AND abs(n - 1) > 1e-5")
     assert far.count() == 0
+
+
+def test_stream_keeps_every_row(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(3).drop("doc_id", "text")
+    texts = spark.createDataFrame([(None, "a"), (None, "b c"), (1, "a b"), (1, "a b c d")], "doc_id long, text string")
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    texts.crossJoin(docs.limit(1)).select(*schema.fieldNames()).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["stream_ingest"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in got) == [(False, 2), (False, 4), (True, 1), (True, 2)]
