@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import new_folder
+
 # Prompt strategies in order, the score from which a pair counts as consistent, and score bands.
 STRATEGIES = ["zero_shot", "chain_of_thought", "few_shot"]
 THRESHOLD = 70
@@ -48,7 +50,8 @@ def strategy_summary(scores: DataFrame, places: int = 6) -> DataFrame:
 def author_ranking(wide: DataFrame, strategies: list[str] = STRATEGIES) -> DataFrame:
     """Authors by their mean over strategies, rounded half-even to 2 places, with ordinal ranks.
 
-    The ranking holds one row for each author, so it is sorted in one task by design.
+    Ranks are counted within ranges of the order, plus the rows of earlier ranges; the driver gets
+    one number a range.
     """
     columns = [f"{s}_score" for s in strategies]
     mean = sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
@@ -58,7 +61,19 @@ def author_ranking(wide: DataFrame, strategies: list[str] = STRATEGIES) -> DataF
         F.count("*").alias("events_compared"),
         *[half_even(F.avg(c), 2).alias(c.replace("_score", "_mean")) for c in columns],
     )
-    return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("avg_score"), "author")))
+    order = [F.desc("avg_score"), F.asc("author")]
+    ranged = by.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranged = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    # written once, since ranges drawn anew could differ from those that were counted
+    path = f"{new_folder(by.sparkSession, 'ranking')}/ranges"
+    ranged.write.parquet(path)
+    ranged = by.sparkSession.read.schema(ranged.schema).parquet(path)
+    before, total = [], 0
+    for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():
+        before += [F.lit(r["_p"]), F.lit(total)]
+        total += r["n"]
+    start = F.create_map(*before)[F.col("_p")] if before else F.lit(0)
+    return ranged.withColumn("rank", (F.col("rank") + start).cast("int")).drop("_p")
 
 
 def self_consistency(runs: DataFrame, places: int = 6) -> DataFrame:

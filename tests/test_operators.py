@@ -172,3 +172,14 @@ def test_failed_replies_become_empty_records(spark):
     pairs = extraction.with_events(docs.drop("content"), events(spark).select("event"))
     tones = {r.event: r.tone for r in extraction.retrieved(pairs, hits, complete).collect()}
     assert tones[EVENTS[0]] == "Error in extraction" and set(tones.values()) == {"Error in extraction", "Not mentioned"}
+
+
+def test_author_ranks_are_numbered_by_range(spark):
+    rows = [("e", f"a{i}", s, float(i * 7 % 50 + k)) for i in range(400) for k, s in enumerate(evaluation.STRATEGIES)]
+    scores = spark.createDataFrame(rows, "event string, author string, prompt_type string, score double")
+    out = evaluation.author_ranking(evaluation.widen(scores))
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(out.collect(), key=lambda r: r.rank)
+    assert [r.rank for r in got] == list(range(1, 401))
+    assert [r.author for r in got] == [r.author for r in sorted(got, key=lambda r: (-r.avg_score, r.author))]
+    assert evaluation.author_ranking(evaluation.widen(scores.limit(0))).count() == 0
