@@ -95,34 +95,30 @@ def _with_suffixes(features: DataFrame, suffixes: DataFrame) -> DataFrame:
     return features.join(suffixes, "suffix", "left").na.fill({"suffix_block_rate": 0.5, "suffix_share": 0.0})
 
 
-def fit(labelled: DataFrame, scratch: Scratch, max_rows: int = 40_000, trees: int = 12, depth: int = 3, seed: int = 7) -> UrlModel:
-    """Trees from labelled features (``blocked`` 0.0 or 1.0).
+def fit(features: DataFrame, scratch: Scratch, max_rows: int = 40_000, trees: int = 12, depth: int = 3, seed: int = 7) -> UrlModel:
+    """Trees from labelled features (``blocked`` 0.0 or 1.0; null for rows without a label).
 
-    ``suffix_block_rate`` (smoothed) and ``suffix_share`` are statistics over all labelled rows.
-    The trees see at most about ``max_rows`` of them, chosen by a hash of the URL; repeated
-    URLs are one row. With labels of one class only there are no trees and every score is 0.
+    ``suffix_block_rate`` (smoothed) is a statistic over all labelled rows, ``suffix_share`` over
+    all rows. The trees see at most about half of ``max_rows`` distinct URLs of each class, chosen
+    by a hash of the URL and weighted back to the class's number of URLs, so a rare class is always
+    present. With labels of one class only there are no trees and every score is 0.
     """
-    share = F.count("*").alias("n"), F.sum("blocked").alias("b")
-    by_suffix = labelled.groupBy("suffix").agg(*share)
-    everything = labelled.agg(F.count("*").alias("all"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("blocked")).first()
-    n, b = everything["all"], everything["blocked"]
+    n, b = F.count("blocked"), F.coalesce(F.sum("blocked"), F.lit(0.0))
+    rows = features.count()
     suffixes = scratch.keep(
-        by_suffix.select(
-            "suffix", ((F.col("b") + 1) / (F.col("n") + 2)).alias("suffix_block_rate"), (F.col("n") / max(n, 1)).alias("suffix_share")
-        ),
-        "suffixes",
+        features.groupBy("suffix").agg(((b + 1) / (n + 2)).alias("suffix_block_rate"), (F.count("*") / max(rows, 1)).alias("suffix_share")), "suffixes"
     )
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    if not 0 < b < n:
+    labelled = features.filter("blocked IS NOT NULL")
+    urls = {r["blocked"]: r["n"] for r in labelled.select("url", "blocked").distinct().groupBy("blocked").agg(F.count("*").alias("n")).collect()}
+    if len(urls) < 2:
         return UrlModel(suffixes, None, assembler)
-    part = min(1.0, max_rows / n)
-    chosen = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    train = scratch.keep(_with_suffixes(chosen, suffixes).select("blocked", *FEATURES).repartition(8), "train")
-    classes = train.agg(F.count_distinct("blocked")).first()[0]
-    if classes < 2:
-        return UrlModel(suffixes, None, assembler)
-    gbt = GBTClassifier(featuresCol="features", labelCol="blocked", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed)
-    return UrlModel(suffixes, gbt.fit(assembler.transform(train).select("features", "blocked")), assembler)
+    share = {c: min(1.0, max_rows / 2 / k) for c, k in urls.items()}
+    part = F.when(F.col("blocked") == 1.0, share[1.0]).otherwise(share[0.0])
+    chosen = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < part * (1 << 30)).dropDuplicates(["url"]).withColumn("weight", 1 / part)
+    train = scratch.keep(_with_suffixes(chosen, suffixes).select("blocked", "weight", *FEATURES).repartition(8), "train")
+    gbt = GBTClassifier(featuresCol="features", labelCol="blocked", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed)
+    return UrlModel(suffixes, gbt.fit(assembler.transform(train).select("features", "blocked", "weight")), assembler)
 
 
 def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, max_rows: int = 40_000) -> DataFrame:
@@ -140,8 +136,7 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, max_rows:
     parsed = pages.select("page_id", "url", url_host(url).alias("host"), url_path(url).alias("path"))
     ruled = parsed.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules))
     features = scratch.keep(lexical_features(ruled), "features")
-    labelled = features.filter("hit IS NOT NULL").withColumn("blocked", (F.col("hit.verdict") == "block").cast("double"))
-    model = fit(labelled, scratch, max_rows)
+    model = fit(features.withColumn("blocked", (F.col("hit.verdict") == "block").cast("double")), scratch, max_rows)
     scored = model.block_score(features)
     method = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
     return scored.select(

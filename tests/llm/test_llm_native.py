@@ -152,3 +152,21 @@ def test_without_labels_urls_are_allowed(spark):
     df = spark.createDataFrame([(1, "http://x.com/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_filter.judge(df, queries.URL_RULES).collect()} == {"allow"}
     assert url_filter.judge(df.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_a_rare_class_is_always_among_the_trees_rows(spark):
+    from inkmill.llm.common import Scratch
+
+    often = [(i, "https://www.site.org/fr/same") for i in range(1000)]
+    rows = [(i, f"https://www.site{i}.org/fr/a{i}") for i in range(1000, 3000)] + [(i, f"http://x{i}.net/{i}?q=1") for i in range(3000, 3003)]
+    rows += [(i, f"https://other{i}.example/{i}") for i in range(4000, 4010)]
+    df = spark.createDataFrame(often + rows, "page_id long, url string")
+    got = url_filter.judge(df, queries.URL_RULES, max_rows=40).collect()
+    assert len(got) == len(often) + len(rows)
+    scores = {r.page_id: r.block_score for r in got}
+    assert min(scores[i] for i in range(3000, 3003)) > scores[1500] > 0
+    hits = url_filter.match_rule(F.col("host"), F.col("path"), queries.URL_RULES)
+    parsed = df.select("page_id", "url", url_filter.url_host(F.col("url")).alias("host"), url_filter.url_path(F.col("url")).alias("path"))
+    features = url_filter.lexical_features(parsed).withColumn("blocked", (hits["verdict"] == "block").cast("double"))
+    shares = {r.suffix: r.suffix_share for r in url_filter.fit(features, Scratch(spark, "t")).suffixes.collect()}
+    assert shares["example"] == pytest.approx(10 / (len(often) + len(rows))) and sum(shares.values()) == pytest.approx(1)
