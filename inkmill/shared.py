@@ -9,10 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """As named by ``spark.checkpoint.dir``; a temporary folder only where the setting is absent
-    (tests on one machine)."""
+    """As named by ``spark.checkpoint.dir``. Where it is unset, a session on one machine (master
+    ``local``) gets a temporary folder; a cluster gets an error, as its executors could not see one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="inkmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
