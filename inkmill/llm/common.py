@@ -2,37 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can read, as named by ``spark.checkpoint.dir``.
-
-    A temporary folder is used only where the setting is absent (tests on one machine).
-    """
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="inkmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+_OPEN: list[Scratch] = []
 
 
 class Scratch:
     """Tables written to the shared folder to cut lineage or to be scanned again.
 
     ``keep`` writes a frame as Parquet and reads it back; ``drop`` deletes tables that no
-    returned plan refers to any more.
+    returned plan refers to any more. What a returned plan still reads stays until ``close_all``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
         self._n = 0
+        self._kept: list[DataFrame] = []
+        _OPEN.append(self)
 
     def path(self, label: str = "t") -> str:
         self._n += 1
@@ -43,14 +33,33 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._inkmill_path = path
+        self._kept.append(out)
         return out
 
-    def drop(self, *frames: DataFrame) -> None:
+    def _delete(self, *paths: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._inkmill_path)
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
 
+    def drop(self, *frames: DataFrame) -> None:
+        self._delete(*(df._inkmill_path for df in frames))
+        self._kept = [df for df in self._kept if all(df is not x for x in frames)]
+
+    def drop_but(self, *frames: DataFrame) -> None:
+        """Deletes all tables kept so far but ``frames``."""
+        self.drop(*(df for df in self._kept if all(df is not x for x in frames)))
+
+    def close(self) -> None:
+        self._delete(self.root)
+        self._kept = []
+
+
+def close_all() -> None:
+    """Deletes every scratch table of the operators; to be called once their results are written."""
+    while _OPEN:
+        _OPEN.pop().close()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near_copies
-from .common import Scratch, connected_components, release, set_aside
+from .common import Scratch, connected_components, release
 
 SEED = 42
 
@@ -228,20 +228,34 @@ def contract_groups(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
 BROADCAST_ROWS = 2_000_000
 
 
+def _row_ids(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with ``_row``, a number of each row that is the same in every scan: its file's hash
+    and its place in the file. A frame that is not a plain scan of files is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = scratch.keep(docs, "docs")
+    return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias("_row"))
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents without near copies: of each group the row with the smallest doc_id stays, of
-    repeated ids the first row. Columns are those of ``docs``, which must be a written table."""
+    """The documents without near copies: of each group the row with the smallest doc_id stays
+    (null ids last), of repeated ids one row. Columns are those of ``docs``.
+
+    Defined cases: texts without a word are copies of each other; an empty table gives an empty
+    result; other columns are carried along, whatever their names.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "dedup")
-    rows, back = set_aside(docs, "doc_id", "text")
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    groups = near_copies.groups(numbered, "_row", **how).select(F.col("id").alias("_row"), "component_id")
-    ids = numbered.select("_row", "doc_id")
-    grouped = groups.join(groups.groupBy("component_id").agg(F.count("*").alias("c")).filter("c > 1").select("component_id"), "component_id")
-    members = scratch.keep(grouped.join(ids, "_row"), "members")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
-    stays = members.groupBy("component_id").agg(F.min(rank).alias("s")).select("component_id", F.col("s._row").alias("stays"))
-    dropped = scratch.keep(members.join(stays, "component_id").filter("_row <> stays").select("_row"), "dropped")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if "_row" in docs.columns or "_metadata" in docs.columns:
+        names = {c: f"_other{i}" for i, c in enumerate(others)}
+        docs = scratch.keep(docs.withColumnsRenamed(names), "docs")
+        out = keep_one(docs, **how)
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
+    numbered = _row_ids(docs, scratch)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    rows, kept = near_copies.survivors(scratch, numbered.select("_row", "doc_id", "text"), "_row", ["doc_id"], rank, **how)
+    dropped = scratch.keep(rows.join(kept, "_row", "left_anti"), "dropped")
+    scratch.drop_but(dropped)
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return numbered.join(dropped, "_row", "left_anti").select(*back)
+    return numbered.join(dropped, "_row", "left_anti").drop("_row")

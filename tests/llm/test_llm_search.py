@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from inkmill.llm import binary_search, queries, simhash, vector_tree
+from inkmill.llm import binary_search, near_copies, queries, simhash, vector_tree
 from inkmill.llm.common import Scratch, connected_components
 
 from ..oracle import connect, same
@@ -201,6 +201,47 @@ def passages(seed, n, jaccards):
     return rows
 
 
+def test_bitmaps_never_hide_a_pair():
+    rng = np.random.default_rng(3)
+    for n in (5, 500, 1020, 1030, 2040, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: int(0.9 * len(a))], rng.integers(0, 2**63, int(0.12 * n) + 1).astype(np.uint64))))
+        x, y = near_copies.parity_bitmap(a), near_copies.parity_bitmap(b)
+        m = min(len(x), len(y))
+        apart = np.bitwise_count((near_copies.folded(x, m) ^ near_copies.folded(y, m)).view(np.uint64)).sum()
+        assert apart <= len(np.setxor1d(a, b)) and len(x) * 64 >= len(a)
+        assert np.array_equal(near_copies.folded(x), near_copies.folded(near_copies.folded(x, m)))
+
+
+def test_long_texts_around_the_threshold(spark, tmp_path):
+    """Bitmaps of different lengths meet: 1000 to 1300 runs of five words, on both sides of 1024."""
+    r = random.Random(8)
+    text = lambda n: [f"w{r.getrandbits(40):x}" for _ in range(n)]
+    rows, gone = [], set()
+    for i in range(12):
+        base = text(1010)
+        rows.append((i, " ".join(base)))
+        for k, more in enumerate((5, 100, 240, 270)):  # 1006 runs stay, so 251 more are the most
+            rows.append((100 * (k + 1) + i, " ".join(base + text(more))))
+            if more <= 251:
+                gone.add(rows[-1][0])
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    sets = {i: near_copies.shingle_set(t, 5) for i, t in rows}
+    ids = sorted(sets)
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    roots = groups_of(len(ids), lambda x, y: like(sets[ids[x]], sets[ids[y]]))
+    kept = sorted(x.doc_id for x in simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert kept == [i for x, i in enumerate(ids) if roots[x] == x] and gone.isdisjoint(kept)
+
+
+def test_keep_one_of_hardly_anything(spark):
+    schema = "doc_id long, text string, _metadata string, _row string, digest int"
+    assert simhash.keep_one(spark.createDataFrame([], schema)).columns == ["doc_id", "text", "_metadata", "_row", "digest"]
+    rows = [(None, "a b", "m", "r", 1), (None, "a b", "m", "r", 1), (3, None, None, None, None), (2, " ", None, None, 2), (7, "A  B", "x", "y", 3)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.doc_id, r["_row"]) for r in kept) == [(2, None), (7, "y")]
+
+
 def test_passage_sized_edits_from_the_threshold_up(spark, tmp_path):
     rows = passages(11, 60, [0.8, 0.81, 0.85, 0.95])
     spark.createDataFrame(rows, "doc_id long, text string, j double").write.parquet(str(tmp_path / "d"))
