@@ -1,6 +1,10 @@
 """URL filter: rules, then gradient-boosted trees on lexical features. DataFrame operations only.
 
-The trees are Spark ML's, trained on labelled URLs; features come from built-in functions.
+The trees are Spark ML's, trained on labelled URLs; features come from built-in functions. Suffix
+statistics are taken over all pages and know no labels: how a URL's length, digits and entropy stand
+to the means of its suffix, and the suffix's rarity by powers of ten. (A block rate by suffix, or
+anything else that tells suffixes apart, would make trees that learn from rules about suffixes a
+table of suffixes.)
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ from .common import Scratch, ascii_lower
 Rule = tuple[str, str, str]
 
 FEATURES = (
-    "url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_digit_ratio",
-    "hyphens", "entropy", "params", "has_fragment", "is_https", "suffix_block_rate", "suffix_share",
+    "host_length", "path_length", "depth", "host_labels", "host_digit_ratio", "hyphens", "params", "has_fragment", "is_https",
+    "length_beside_suffix", "digits_beside_suffix", "entropy_beside_suffix", "suffix_rarity",
 )
+#: One of so many labelled URLs is kept from training, to measure the trees by.
+HELD_OUT_OF = 5
 
 
 def url_host(url: Column) -> Column:
@@ -77,68 +83,86 @@ def lexical_features(urls: DataFrame) -> DataFrame:
 
 
 class UrlModel:
-    """A fitted filter: ``suffixes`` (suffix, suffix_block_rate, suffix_share) and the trees."""
+    """A fitted filter: ``suffixes`` (the means and rarity of each suffix) and the trees."""
 
     def __init__(self, suffixes: DataFrame, trees, assembler: VectorAssembler):
         self.suffixes, self.trees, self.assembler = suffixes, trees, assembler
 
     def block_score(self, features: DataFrame) -> DataFrame:
         """Adds ``block_score``, the probability of ``block``."""
-        known = _with_suffixes(features, self.suffixes)
+        known = _beside_suffix(features, self.suffixes)
         if self.trees is None:
             return known.withColumn("block_score", F.lit(0.0))
         out = self.trees.transform(self.assembler.transform(known))
         return out.withColumn("block_score", vector_to_array("probability")[1])
 
 
-def _with_suffixes(features: DataFrame, suffixes: DataFrame) -> DataFrame:
-    return features.join(suffixes, "suffix", "left").na.fill({"suffix_block_rate": 0.5, "suffix_share": 0.0})
+def suffix_statistics(features: DataFrame) -> DataFrame:
+    """(suffix, mean_length, mean_digits, mean_entropy, suffix_rarity) over all rows."""
+    rows = features.count()
+    return features.groupBy("suffix").agg(
+        F.avg("url_length").alias("mean_length"),
+        F.avg("digit_ratio").alias("mean_digits"),
+        F.avg("entropy").alias("mean_entropy"),
+        F.floor(F.log10(F.lit(float(max(rows, 1))) / F.count("*"))).cast("double").alias("suffix_rarity"),
+    )
+
+
+def _beside_suffix(features: DataFrame, suffixes: DataFrame) -> DataFrame:
+    return features.join(suffixes, "suffix", "left").select(
+        *[F.col(c) for c in features.columns],
+        F.coalesce(F.col("url_length") - F.col("mean_length"), F.lit(0.0)).alias("length_beside_suffix"),
+        F.coalesce(F.col("digit_ratio") - F.col("mean_digits"), F.lit(0.0)).alias("digits_beside_suffix"),
+        F.coalesce(F.col("entropy") - F.col("mean_entropy"), F.lit(0.0)).alias("entropy_beside_suffix"),
+        F.coalesce("suffix_rarity", F.lit(99.0)).alias("suffix_rarity"),
+    )
+
+
+def is_held_out(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(url, F.lit("")), F.lit(1)), F.lit(HELD_OUT_OF)) == 0
 
 
 def fit(features: DataFrame, scratch: Scratch, max_rows: int = 40_000, trees: int = 12, depth: int = 3, seed: int = 7) -> UrlModel:
     """Trees from labelled features (``blocked`` 0.0 or 1.0; null for rows without a label).
 
-    ``suffix_block_rate`` (smoothed) is a statistic over all labelled rows, ``suffix_share`` over
-    all rows. The trees see at most about half of ``max_rows`` distinct URLs of each class, chosen
-    by a hash of the URL and weighted back to the class's number of URLs, so a rare class is always
-    present. With labels of one class only there are no trees and every score is 0.
+    The trees see at most about half of ``max_rows`` distinct URLs of each class, chosen by a hash
+    of the URL and weighted back to the class's number of URLs, so a rare class is always present.
+    Held-out URLs are not among them. With labels of one class only there are no trees and every
+    score is 0.
     """
-    n, b = F.count("blocked"), F.coalesce(F.sum("blocked"), F.lit(0.0))
-    rows = features.count()
-    suffixes = scratch.keep(
-        features.groupBy("suffix").agg(((b + 1) / (n + 2)).alias("suffix_block_rate"), (F.count("*") / max(rows, 1)).alias("suffix_share")), "suffixes"
-    )
+    suffixes = scratch.keep(suffix_statistics(features), "suffixes")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    labelled = features.filter("blocked IS NOT NULL")
+    labelled = features.filter(F.col("blocked").isNotNull() & ~is_held_out(F.col("url")))
     urls = {r["blocked"]: r["n"] for r in labelled.select("url", "blocked").distinct().groupBy("blocked").agg(F.count("*").alias("n")).collect()}
     if len(urls) < 2:
         return UrlModel(suffixes, None, assembler)
     share = {c: min(1.0, max_rows / 2 / k) for c, k in urls.items()}
     part = F.when(F.col("blocked") == 1.0, share[1.0]).otherwise(share[0.0])
     chosen = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < part * (1 << 30)).dropDuplicates(["url"]).withColumn("weight", 1 / part)
-    train = scratch.keep(_with_suffixes(chosen, suffixes).select("blocked", "weight", *FEATURES).repartition(8), "train")
+    train = scratch.keep(_beside_suffix(chosen, suffixes).select("blocked", "weight", *FEATURES).repartition(8), "train")
     gbt = GBTClassifier(featuresCol="features", labelCol="blocked", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed)
     return UrlModel(suffixes, gbt.fit(assembler.transform(train).select("features", "blocked", "weight")), assembler)
 
 
 def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, max_rows: int = 40_000) -> DataFrame:
-    """(page_id, host, path, rule, verdict, block_score) for every page.
+    """(page_id, host, path, rule, verdict, block_score, held_out) for every page.
 
-    A page that a rule fits takes the rule's verdict and serves as a labelled URL; the others
-    are judged by trees trained on those labels.
+    A page that a rule fits takes the rule's verdict and serves as a labelled URL, but for held-out
+    ones; the others are judged by trees trained on those labels. ``block_score`` is that of the
+    trees for every page.
 
     Defined cases: a null URL or one without ``://`` has empty host and path and is judged by the
-    trees; with no labels, or labels of one kind, the trees' verdict is allow; repeated URLs and
-    ids are separate rows with equal verdicts; extra columns are ignored; empty in, empty out.
+    trees; URLs of any length are read whole; with no labels, or labels of one kind, the trees'
+    verdict is allow; rows with one URL are separate rows with equal verdicts and train as one;
+    repeated and null ids are ordinary; extra columns are ignored; empty in, empty out.
     """
     scratch = Scratch(pages.sparkSession, "url")
     url = F.col("url")
     parsed = pages.select("page_id", "url", url_host(url).alias("host"), url_path(url).alias("path"))
     ruled = parsed.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules))
-    features = scratch.keep(lexical_features(ruled), "features")
-    model = fit(features.withColumn("blocked", (F.col("hit.verdict") == "block").cast("double")), scratch, max_rows)
-    scored = model.block_score(features)
+    features = scratch.keep(lexical_features(ruled).withColumn("blocked", (F.col("hit.verdict") == "block").cast("double")), "features")
+    scored = fit(features, scratch, max_rows).block_score(features)
     method = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
     return scored.select(
-        "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", method).alias("verdict"), "block_score"
+        "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", method).alias("verdict"), "block_score", is_held_out(url).alias("held_out")
     )

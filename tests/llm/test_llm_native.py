@@ -168,5 +168,37 @@ def test_a_rare_class_is_always_among_the_trees_rows(spark):
     hits = url_filter.match_rule(F.col("host"), F.col("path"), queries.URL_RULES)
     parsed = df.select("page_id", "url", url_filter.url_host(F.col("url")).alias("host"), url_filter.url_path(F.col("url")).alias("path"))
     features = url_filter.lexical_features(parsed).withColumn("blocked", (hits["verdict"] == "block").cast("double"))
-    shares = {r.suffix: r.suffix_share for r in url_filter.fit(features, Scratch(spark, "t")).suffixes.collect()}
-    assert shares["example"] == pytest.approx(10 / (len(often) + len(rows))) and sum(shares.values()) == pytest.approx(1)
+    rarity = {r.suffix: r.suffix_rarity for r in url_filter.fit(features, Scratch(spark, "t")).suffixes.collect()}
+    assert rarity == {"org": 0.0, "net": 3.0, "example": 2.0}
+
+
+def test_url_query(spark):
+    """The registered query on its whole table: rules by plain Python, and verdicts that are no
+    matter of the suffix."""
+    out = queries.op10_url_filter(spark, "/root/testdata/sf0.01")
+    assert not python_nodes(out)
+    rows = {r.page_id: r for r in out.collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()
+    assert len(rows) == len(pages)
+    by_suffix, right, judged = defaultdict(set), 0, 0
+    for page in pages:
+        r = rows[page.page_id]
+        host, path, rule, verdict = python_rule(page.url)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        method = "block" if r.block_score >= 0.5 else "allow"
+        assert r.verdict == (verdict or method)
+        by_suffix[host.rsplit(".", 1)[-1]].add(method)
+        if verdict and r.held_out:
+            judged, right = judged + 1, right + (verdict == method)
+    assert any(len(v) == 2 for v in by_suffix.values())
+    assert judged and right / judged >= 0.5
+
+
+def test_urls_with_clashing_columns_and_long_ones(spark):
+    names = ["path", "suffix", "blocked", "hit", "block_score", "held_out", "suffix_rarity", "mean_length", "weight"]
+    rows = [(1, "http://x.net/" + "a/" * 20000, *names), (None, None, *names), (1, "http://y.org/fr/?q", *names), (2, "no scheme", *names)]
+    df = spark.createDataFrame(rows, f"page_id long, url string, {', '.join(n + ' string' for n in names)}")
+    got = url_filter.judge(df, queries.URL_RULES).collect()
+    assert sorted((r.page_id or 0, r.host, len(r.path), r.verdict) for r in got) == [
+        (0, "", 0, "allow"), (1, "x.net", 40001, "block"), (1, "y.org", 4, "allow"), (2, "", 0, "allow")
+    ]
