@@ -1,23 +1,27 @@
 """Sharding by histogram sort, in DataFrame operations only.
 
-Rows are ordered by a 3-part key: hash of the text, hash of the id, and the row's number in the
-key table (unique, so that any two rows can be told apart). Splitters that cut this order into
+Rows are ordered by a 3-part key: lane and hash of the text, hash of the id, and the row's number in
+the key table (unique, so that any two rows can be told apart). Splitters that cut this order into
 shards of near-equal bytes are found by counting the exact bytes below candidate boundaries:
 each round splits the interval around every open target at 4096 candidates, sums bytes between
 them over all partitions (map-side combined; at most 4096 sums for each open interval reach the
-driver) and keeps the interval that holds the target, until a boundary lies within the tolerance. Then the rows are exchanged once, by fine bucket.
-
-Documents that are large beside a shard are dealt first, and smaller ones then fill up what each
-shard lacks, so that no boundary has to fall beside a large document. (With many documents to a
-shard there is one tier.)
-
-Copies of one text are neighbours in the order. Only a splitter that falls inside such a group
-divides it, which is what lets a group of a third of all rows be cut into near-equal shards.
+driver) and keeps the interval that holds the target, until a boundary lies within the tolerance.
+Then the rows are exchanged once, by fine bucket.
+
+A boundary can be no nearer to its target than the row it falls beside allows. The lane, the key's
+first 12 bits, keeps it away from rows larger than the tolerance: there are at most shards /
+tolerance of them (32,000 for 16 shards), they are dealt to the shard with the fewest bytes, largest
+first, and take the lane in the middle of that shard, between two lanes of ordinary rows, whose
+number of bytes follows from what the shard has already.
+
+Copies of one text are neighbours in the order, but for those that are large. Only a splitter that
+falls inside such a group divides it, which is what lets a group of a third of all rows be cut into
+near-equal shards.
 """
 
 from __future__ import annotations
 
-import functools
+import heapq
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +32,8 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 _BITS = 12
-#: Documents are dealt in tiers, those above a part of a shard's bytes before the others.
-TIERS = (8, 32, 128, 512)
+#: Lanes in the first digit of the key: three a shard.
+MOST_SHARDS = (1 << _BITS) // 3
 #: Key parts from the most significant, as (column, bits).
 _PARTS = (("k1", 64), ("k2", 64), ("k3", 64))
 _WIDTH = sum(b for _, b in _PARTS)
@@ -150,23 +154,67 @@ def _bucket(keys: DataFrame, splitters: list[int], spark: SparkSession) -> DataF
     )
 
 
+def _level(loads: list[int], total: int) -> list[float]:
+    """Bytes for each shard: equal, but for shards that hold more already."""
+    full, even = set(), 0.0
+    while True:
+        rest = [i for i in range(len(loads)) if i not in full]
+        even = (total - sum(loads[i] for i in full)) / len(rest)
+        over = {i for i in rest if loads[i] > even}
+        if not over:
+            return [loads[i] if i in full else even for i in range(len(loads))]
+        full |= over
+
+
+def _lanes(keys: DataFrame, shards: int, limit: float, total: int) -> tuple[DataFrame, list[float]]:
+    """``keys`` with the lane before the hash in ``k1``, and the bytes wanted in each shard."""
+    large = keys.filter(F.col("size") > limit).select("k3", "size").collect()
+    queue = [(0, s) for s in range(shards)]
+    loads, places = [0] * shards, []
+    for r in sorted(large, key=lambda r: (-r["size"], r["k3"])):
+        load, s = heapq.heappop(queue)
+        loads[s] = load + r["size"]
+        places.append((r["k3"], 3 * s + 1))
+        heapq.heappush(queue, (loads[s], s))
+    want = _level(loads, total)
+    # the hashes of ordinary rows are dealt in proportion to what each shard lacks
+    lacks = [w - load for w, load in zip(want, loads, strict=True)]
+    span, ends, below = 1 << (64 - _BITS), [], 0.0
+    for x in lacks:
+        ends += [below + x / 2, below + x]
+        below += x
+    ends = [min(span, int(e / below * span)) if below else span for e in ends[:-1]]
+    hashed = F.shiftrightunsigned("k1", _BITS)
+    half = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= hashed))
+    lane = F.floor(half / 2) * 3 + F.pmod(half, F.lit(2)) * 2
+    if places:
+        known = F.broadcast(keys.sparkSession.createDataFrame(places, "k3 long, lane long"))
+        keys = keys.join(known, "k3", "left").withColumn("lane", F.coalesce("lane", lane))
+    else:
+        keys = keys.withColumn("lane", lane)
+    k1 = F.shiftleft(F.col("lane").cast("long"), 64 - _BITS).bitwiseOR(hashed).bitwiseXOR(F.lit(-(1 << 63)))
+    return keys.select("doc_id", "size", "text_crc32", k1.alias("k1"), "k2", "k3"), want
+
+
 def shard_by_bytes(
     docs: DataFrame, shards: int = 16, buckets_per_shard: int = 16, tolerance: float = 0.0005
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): shards of near-equal bytes, slots gapless from 0.
 
-    ``size`` is the text's UTF-8 bytes plus 1. A shard's bytes differ from the mean by at most
-    ``tolerance`` of it at either end or by one document of the smallest tier that fills them up.
-    ``buckets_per_shard`` sets how many tasks number the rows of one shard.
+    ``size`` is the text's UTF-8 bytes plus 1. A shard's bytes differ from the mean by about
+    ``tolerance`` of it at either end, unless single documents are larger than what is left for
+    them. ``buckets_per_shard`` sets how many tasks number the rows of one shard.
 
     Defined cases: a null text has size 1 and checksum 0; a null id is an ordinary key value;
     repeated rows are separate rows with separate slots; an empty table gives an empty result;
     extra columns are ignored.
     """
+    if not 1 <= shards <= MOST_SHARDS:
+        raise ValueError(f"1 to {MOST_SHARDS} shards")
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = scratch.keep(
+    hashed = scratch.keep(
         docs.select(
             F.col("doc_id"),
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
@@ -177,42 +225,30 @@ def shard_by_bytes(
         ),
         "keys",
     )
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
-    tier = F.lit(len(TIERS))
-    for i, t in reversed(list(enumerate(TIERS))):
-        tier = F.when(F.col("size") > total // (shards * t), i).otherwise(tier)
-    sizes = {r["tier"]: r["b"] for r in keys.groupBy(tier.alias("tier")).agg(F.sum("size").alias("b")).collect()}
-    numbered, offsets = [], []
-    rows_in, bytes_in = [0] * shards, [0] * shards
-    for at_tier, own in sorted(sizes.items()):
-        part = keys.filter(tier == at_tier)
-        # what each shard lacks, in proportion to what there is
-        need = [max(0.0, total / shards - b) for b in bytes_in]
-        shares = [own * x / sum(need) for x in need]
-        wanted, below = [], 0.0
-        for shard, share in enumerate(shares):
-            wanted += [(below + share * i / buckets_per_shard, share / buckets_per_shard / 4) for i in range(1, buckets_per_shard)]
-            below += share
-            if shard < shards - 1:
-                wanted.append((below, tolerance * total / shards))
-        cuts = _splitters(part, wanted)
-        edges, splitters = sorted(cuts[buckets_per_shard - 1 :: buckets_per_shard]), sorted(set(cuts))
-        placed = _bucket(part, splitters, spark).withColumn("bucket", F.col("bucket") + len(offsets))
-        sums = {r["bucket"]: r for r in placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
-        for i in range(len(splitters) + 1):
-            shard, at = bisect_right(edges, splitters[i - 1]) if i else 0, len(offsets)
-            offsets.append((at, shard, rows_in[shard]))
-            if at in sums:
-                rows_in[shard] += sums[at]["n"]
-                bytes_in[shard] += sums[at]["b"]
-        numbered.append(placed)
-    if not numbered:
+    total = hashed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
+    if not total:
         return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, shard int, slot long")
+    limit = tolerance * total / shards
+    keys, want = _lanes(hashed, shards, limit, total)
+    wanted, below = [], 0.0
+    for shard, share in enumerate(want):
+        wanted += [(below + share * i / buckets_per_shard, share / buckets_per_shard / 4) for i in range(1, buckets_per_shard)]
+        below += share
+        if shard < shards - 1:
+            wanted.append((below, limit))
+    cuts = _splitters(keys, wanted)
+    edges, splitters = sorted(cuts[buckets_per_shard - 1 :: buckets_per_shard]), sorted(set(cuts))
+    placed = _bucket(keys, splitters, spark)
+    counts = {r["bucket"]: r["n"] for r in placed.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    offsets, filled = [], [0] * shards
+    for i in range(len(splitters) + 1):
+        shard = bisect_right(edges, splitters[i - 1]) if i else bisect_right(edges, 0)
+        offsets.append((i, shard, filled[shard]))
+        filled[shard] += counts.get(i, 0)
     where = F.broadcast(spark.createDataFrame(offsets, "bucket int, shard int, offset long"))
     order = Window.partitionBy("bucket").orderBy("k1", "k2", "k3")
     return (
-        functools.reduce(DataFrame.unionByName, numbered)
-        .withColumn("n", F.row_number().over(order))
+        placed.withColumn("n", F.row_number().over(order))
         .join(where, "bucket")
         .select("doc_id", "size", "text_crc32", "shard", (F.col("n") - 1 + F.col("offset")).alias("slot"))
     )

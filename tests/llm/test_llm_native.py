@@ -63,6 +63,19 @@ def test_sharding_query(spark, sf_dir):
     check_shards(out.collect(), docs, 16)
     assert not python_nodes(out)
     assert out.filter("law <> 'bytes' OR grown_shard IS NOT NULL").count() == 0
+    sizes = [r.b for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 16 and max(sizes) <= 1.01 * min(sizes)
+
+
+def test_shards_beside_large_documents(spark):
+    """A few texts as large as a shard, one of twice its size, and many small ones."""
+    docs = [(i, "x" * (30 + i % 40)) for i in range(3000)] + [(5000 + i, "y" * 20_000) for i in range(3)] + [(6000, "z" * 100_000)]
+    rows = sharding.shard_by_bytes(spark.createDataFrame(docs, "doc_id long, text string"), shards=5, buckets_per_shard=4).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.shard] += r["size"]
+    rest = sorted(sizes.values())
+    assert len(rest) == 5 and rest[-1] == 100_001 and rest[3] - rest[0] <= 200
 
 
 # ---------------------------------------------------------------- chats
