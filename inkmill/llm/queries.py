@@ -97,10 +97,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _OP6_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) BETWEEN 1 AND 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
 ), d AS (
   SELECT a.vec_id AS query_id, b.vec_id,
-    min(len(list_filter(range(1, 65), lambda i: coalesce(a.s[i], false) <> coalesce(b.s[i], false))))::INTEGER AS distance
+    min(len(list_filter(range(1, greatest(len(a.s), len(b.s)) + 1), lambda i: coalesce(a.s[i], false) <> coalesce(b.s[i], false))))::INTEGER AS distance
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM d
