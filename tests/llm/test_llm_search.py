@@ -138,6 +138,34 @@ def test_tree_finds_nearest(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def test_tree_of_two_levels_visits_few_leaves(spark):
+    """60 clusters, over 50 leaves on two levels or more, hot and repeated ids; recall by brute force."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(60, 24)) * 3
+    x = (centers[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 24)) * 0.5).astype(np.float32)
+    ids = np.arange(6000)
+    ids[5000:5400] = 7  # one id with 400 vectors
+    ids[5400:5403] = 100  # a query with four
+    df = spark.createDataFrame([(int(i), v.tolist(), 1.0, 2) for i, v in zip(ids, x)], "vec_id long, embedding array<float>, score double, leaf int")
+    report = {}
+    got = {}
+    for r in vector_tree.search(df, query_every=100, k=20, leaf_rows=80, report=report).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert report["leaves"] >= 50 > vector_tree.BRANCH and report["met"] < report["leaves"] / 2
+    x, hit = x.astype(float), 0
+    for q, near in got.items():
+        assert near == sorted(near) and len({i for _, i in near}) == 20 and q not in {i for _, i in near}
+        scores = {}
+        for v in x[ids == q]:
+            for i, s in zip(ids.tolist(), x @ v):
+                if i != q:
+                    scores[i] = max(scores.get(i, -np.inf), s)
+        best = sorted(scores, key=lambda i: (-scores[i], i))[:20]
+        hit += len(set(best) & {i for _, i in near})
+        assert all(abs(scores[i] + s) < 1e-6 for s, i in near)
+    assert len(got) == 60 - 5 and hit / (20 * len(got)) >= 0.95, hit / (20 * len(got))
+
+
 def test_few_vectors_are_all_returned(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(0, 6)], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in vector_tree.search(df, k=20).orderBy("rank").collect()] == [5, 4, 3, 2, 1]
@@ -180,7 +208,32 @@ def test_binary_search_of_few_or_none(spark):
     assert [(r.id, r.distance) for r in binary_search.search(df, F.col("id") == 0).orderBy("rank").collect()] == [(2, 1), (1, 64)]
     assert binary_search.search(df.limit(0), F.lit(True)).count() == 0
     odd = spark.createDataFrame([([1.0, -1.0, 0.0],), (None,), ([float("nan")],), ([],), ([None],)], "v array<float>")
-    assert [r.c for r in odd.select(binary_search.sign_code(F.col("v")).alias("c")).collect()] == [1, None, None, None, None]
+    assert [r.c for r in odd.select(binary_search.sign_code(F.col("v")).alias("c")).collect()] == [[1], None, None, None, None]
+
+
+def test_codes_of_any_length(spark):
+    """Vectors of 1 to 200 components: all are searched, bits that a shorter one lacks are zero."""
+    rng = np.random.default_rng(12)
+    vectors = [(i, rng.normal(size=int(n)).tolist()) for i, n in enumerate(rng.choice([1, 64, 65, 128, 200], 400))]
+    for i in range(0, 400, 4):  # near copies, so that not all are far from each other
+        vectors.append((1000 + i, [-x if rng.random() < 0.03 else x for x in vectors[i][1]]))
+    df = spark.createDataFrame(vectors, "id long, v array<double>")
+    codes = df.select("id", binary_search.sign_code(F.col("v")).alias("code"), F.lit("x").alias("qcode"))
+    got = {}
+    for x in binary_search.search(codes, F.col("id") % 50 == 0, 10).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.distance, x.id))
+    bits = {i: sum(1 << j for j, x in enumerate(v) if x > 0) for i, v in vectors}
+    assert sorted(got) == [i for i in sorted(bits) if i % 50 == 0]
+    for q, near in got.items():
+        assert near == sorted(((bits[q] ^ b).bit_count(), i) for i, b in bits.items() if i != q)[:10]
+
+
+def test_segments_are_narrow_at_any_size():
+    for words in (1, 3):
+        for n in (1, 500, 10**6, 2**32, 2**40):
+            cut = binary_search._segments(words, n)
+            assert max(w for _, _, w in cut) <= 32 if n == 1 else max(w for _, _, w in cut) <= 22
+            assert sum(w for _, _, w in cut) == 64 * words
 
 
 def test_binary_search_query(spark, sf_dir):
