@@ -1,13 +1,20 @@
 """A token store: concatenated ids with Elias-Fano document boundaries.
 
-Documents are range-partitioned and sorted by id; each task encodes its range and writes segments.
-A segment holds the ids of a run of documents as 16- or 32-bit little-endian integers, the run's
-document boundaries and its document ids as Elias-Fano sequences with select samples, and the
-number of ids before it in its range. Segments are rows of a Parquet table, which any Spark store
-can hold; ids of the segments before a range are found from one small row per range.
-
-Boundaries cost about 2 + log2(mean length) bits a document instead of 64, and ``select(i)`` finds
-boundary i from a sample and at most ``_SAMPLE`` bits of unary code.
+Texts are encoded where they lie; then their ids, 16 bits each where the vocabulary allows, are
+range-partitioned and sorted by document id, and each task writes segments. A segment holds the ids
+of a run of documents as 16- or 32-bit little-endian integers, the run's document boundaries and its
+document ids as Elias-Fano sequences with select samples, and the number of ids before it in its
+range. Segments are rows of a Parquet table, which any Spark store can hold; ids of the segments
+before a range are found from one small row per range.
+
+Boundaries cost about 2 + log2(mean length) bits a document instead of 64, and ``select`` finds
+boundary i from a sample and the unary code after it, of which a document of mean length takes
+two or three bits. Readers get every offset from it.
+
+Defined cases: a null text is empty and has the end id only; null ids come first, equal ids in input
+order, repeated rows are separate documents; a very long text is a segment of its own (its ids must
+fit a Parquet cell, 2 GB); extra columns are ignored, whatever their names; an empty table gives an
+empty store, which reads as no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bpe import byte_letters, runs
-from .common import Scratch
+from .common import Scratch, release
 from .pieces import Splitter, WordCache, as_it_stands, tokenizer_file
 
 _SAMPLE = 64
@@ -34,6 +41,10 @@ SEGMENT_DOCS, SEGMENT_IDS = 4096, 2 << 20
 RUN_CHARS = 16 << 20
 
 
+#: The place of each set bit of a byte, lowest first.
+_BIT = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[:8] for x in range(256)], np.int64)
+
+
 class EliasFano:
     """A monotone sequence of non-negative integers below 2**63.
 
@@ -86,12 +97,31 @@ class EliasFano:
         one = (byte << 3) + (word & -word).bit_length() - 1
         return ((one - i) << self.l) | int(self._low(np.array([i]))[0])
 
-    def values(self) -> np.ndarray:
-        """All values, by one pass over the bits."""
-        i = np.arange(self.n)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """Values at all of ``i``, each as by ``select``; the bytes after the samples are passed in step."""
+        i = np.asarray(i, np.int64)
+        at, left = self.samples[i // _SAMPLE].astype(np.int64), i % _SAMPLE
+        byte = at >> 3
+        word = self.high[byte] >> (at & 7).astype(np.uint8) << (at & 7).astype(np.uint8)
+        beyond = np.flatnonzero(left >= np.bitwise_count(word))
+        while len(beyond):
+            left[beyond] -= np.bitwise_count(word[beyond])
+            byte[beyond] += 1
+            word[beyond] = self.high[byte[beyond]]
+            beyond = beyond[left[beyond] >= np.bitwise_count(word[beyond])]
+        ones = (byte << 3) + _BIT[word, left]
         return ((ones - i).astype(np.uint64) << np.uint64(self.l)) | self._low(i)
 
+    def below(self, values: np.ndarray) -> np.ndarray:
+        """How many members are below each of ``values``, by a binary search of selects."""
+        low, high = np.zeros(len(values), np.int64), np.full(len(values), self.n, np.int64)
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_]) // 2
+            less = self.select_many(mid) < values[open_]
+            low[open_] = np.where(less, mid + 1, low[open_])
+            high[open_] = np.where(less, high[open_], mid)
+        return low
+
 
 @functools.lru_cache(maxsize=2)
 def _cache(path: str) -> tuple[WordCache, int]:
@@ -133,57 +163,73 @@ _SEGMENT = (
 )
 
 
+def _encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, at, n, width, ids): each document's ids as bytes; ``at`` is the row's number."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("at"))
+
+    def encode(batches):
+        cache, width = _cache(tokenizer)
+        for some in runs(batches, "text", RUN_CHARS):
+            ids, offsets = cache.encode(some.column("text"))
+            cells = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), some.num_rows, [None, pa.py_buffer((offsets * width).astype(np.int64).tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())]
+            )
+            width_ = pa.array(np.full(some.num_rows, width, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [some.column("doc_id"), some.column("at"), pa.array(np.diff(offsets)), width_, cells.cast(pa.binary())], names=["doc_id", "at", "n", "width", "ids"]
+            )
+
+    return rows.mapInArrow(encode, "doc_id long, at long, n long, width int, ids binary")
+
+
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, parts: int | None = None) -> None:
     """Writes every document's ids, each followed by ``end_id``, in ascending order of doc_id.
 
-    Null ids come first, equal ids in input order; a null text is empty and has the end id only.
-    ``parts`` ranges are sorted and encoded in parallel (default: the session's shuffle partitions).
+    ``parts`` ranges are sorted and written in parallel (default: the session's shuffle partitions).
+    Encoded once: the ids are a table of the shared folder before they are dealt to ranges.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "ids")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("at"))
+    rows = scratch.keep(_encoded(docs, tokenizer), "ids")
     # the row's number spreads one id's repeated rows over ranges, too
     ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "at").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "at")
-    end = np.array([end_id], np.uint32)
 
     def write(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        cache, width = _cache(tokenizer)
         before = segment = 0
-        held_ids: list[np.ndarray] = []
+        held_ids: list[bytes] = []
         held_docs: list[int | None] = []
         lengths: list[int] = []
-        size = 0
+        size, width = 0, 2
 
         def close():
             nonlocal before, segment, held_ids, held_docs, lengths, size
             known = np.array([d for d in held_docs if d is not None], np.int64)
             first = int(known[0]) if len(known) else 0
             gaps = known.astype(np.uint64) - np.uint64(first & (1 << 64) - 1)
-            flat = np.concatenate(held_ids)
             row = {
-                "part": part, "segment": segment, "before": before, "n_docs": len(held_docs), "n_ids": len(flat),
-                "null_docs": len(held_docs) - len(known), "first_doc": first, "width": width,
-                "ids": flat.astype(f"<u{width}").tobytes(),
+                "part": part, "segment": segment, "before": before, "n_docs": len(held_docs), "n_ids": size,
+                "null_docs": len(held_docs) - len(known), "first_doc": first, "width": width, "ids": b"".join(held_ids),
                 "boundaries": EliasFano.build(np.concatenate(([0], np.cumsum(lengths)))).to_bytes(),
                 "doc_ids": EliasFano.build(gaps).to_bytes(),
             }
-            before, segment = before + len(flat), segment + 1
+            before, segment = before + size, segment + 1
             held_ids, held_docs, lengths, size = [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_arrow)
 
         for batch in batches:
-            for some in runs([batch], "text", RUN_CHARS):
-                ids, offsets = cache.encode(some.column("text"))
-                for doc, one in zip(some.column("doc_id").to_pylist(), np.split(ids, offsets[1:-1]), strict=True):
-                    if held_docs and (len(held_docs) >= SEGMENT_DOCS or size + len(one) > SEGMENT_IDS):
-                        yield close()
-                    held_ids += (one, end)
-                    held_docs.append(doc)
-                    lengths.append(len(one) + 1)
-                    size += len(one) + 1
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "n", "width"))
+            for doc, n, width, one in zip(*columns, batch.column("ids"), strict=True):
+                if held_docs and (len(held_docs) >= SEGMENT_DOCS or size + n > SEGMENT_IDS):
+                    yield close()
+                held_ids += (one.as_py(), end_id.to_bytes(width, "little"))
+                held_docs.append(doc)
+                lengths.append(n + 1)
+                size += n + 1
+            release()
         if held_docs:
             yield close()
 
@@ -191,6 +237,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, par
         [("part", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("null_docs", pa.int32()), ("first_doc", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("boundaries", pa.binary()), ("doc_ids", pa.binary())]
     )
     ranged.mapInArrow(write, _SEGMENT).write.parquet(path)
+    scratch.close()
 
 
 def read_store(spark, path: str) -> DataFrame:
@@ -202,14 +249,14 @@ def read_store(spark, path: str) -> DataFrame:
         "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
     )
     placed = store.join(F.broadcast(base), "part").select(
-        (F.col("base") + F.col("before")).alias("start"), "null_docs", "first_doc", "width", "ids", "boundaries", "doc_ids"
+        (F.col("base") + F.col("before")).alias("start"), "n_docs", "null_docs", "first_doc", "width", "ids", "boundaries", "doc_ids"
     )
 
     def read(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                edges = EliasFano.from_bytes(r["boundaries"]).values().astype(np.int64)
-                gaps = EliasFano.from_bytes(r["doc_ids"]).values()
+                edges = EliasFano.from_bytes(r["boundaries"]).select_many(np.arange(r["n_docs"] + 1)).astype(np.int64)
+                gaps = EliasFano.from_bytes(r["doc_ids"]).select_many(np.arange(r["n_docs"] - r["null_docs"]))
                 docs = [None] * r["null_docs"] + (gaps + np.uint64(r["first_doc"] & (1 << 64) - 1)).astype(np.int64).tolist()
                 raw = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4").tobytes()
                 cuts = (4 * edges).tolist()
@@ -227,25 +274,24 @@ def read_store(spark, path: str) -> DataFrame:
 
 
 def lookup(spark, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, input_ids) of a stated few documents: segments that may hold one are read, and
-    ``select`` finds each document's two boundaries."""
+    """(doc_id, input_ids) of a stated few documents: of segments that may hold one, a binary search
+    of selects finds its place and two selects its boundaries. Nothing is decoded whole."""
     wanted = sorted(set(doc_ids))
     store = spark.read.schema(_SEGMENT).parquet(path).filter(F.col("first_doc") <= wanted[-1])
 
     def read(batches):
+        ask = np.array(wanted, np.int64)
         for batch in batches:
             for r in batch.to_pylist():
-                docs = (EliasFano.from_bytes(r["doc_ids"]).values() + np.uint64(r["first_doc"] & (1 << 64) - 1)).astype(np.int64)
-                edges = EliasFano.from_bytes(r["boundaries"])
+                docs, edges = EliasFano.from_bytes(r["doc_ids"]), EliasFano.from_bytes(r["boundaries"])
+                some = ask[ask >= r["first_doc"]]
+                gaps = some.astype(np.uint64) - np.uint64(r["first_doc"] & (1 << 64) - 1)
+                first, n = docs.below(gaps), docs.below(gaps + np.uint64(1))
+                n -= first
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()) + r["null_docs"]
                 ids = np.frombuffer(r["ids"], f"<u{r['width']}")
-                hits = np.flatnonzero(np.isin(docs, wanted))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(docs[hits]),
-                        pa.array([ids[edges.select(i) : edges.select(i + 1)].tolist() for i in (hits + r["null_docs"]).tolist()], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "input_ids"],
-                )
+                lists = [ids[a:b].tolist() for a, b in zip(edges.select_many(at).tolist(), edges.select_many(at + 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, n)), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "input_ids"])
 
     return store.select("first_doc", "null_docs", "width", "ids", "boundaries", "doc_ids").mapInArrow(read, "doc_id long, input_ids array<long>")
 
