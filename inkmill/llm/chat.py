@@ -12,7 +12,8 @@ the replacements in the opposite order gives the text back, whatever it holds.
 
 Defined cases: a null text or role counts as empty; a null ``turn`` sorts first; rows that tie on
 ``turn`` are ordered by role, then text, and all are kept, repeated rows too; a null ``conv_id``
-is a conversation of its own; an empty table gives an empty result; other columns are ignored.
+is a conversation of its own; texts of any length are taken whole (a conversation must fit one
+string of Spark's, 2 GB); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,39 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\g"), F.lit(">")))
 
 
+#: Running sums are taken in chunks of so many, and those in chunks again.
+_CHUNK = 64
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _spans(pieces: Column) -> Column:
+    """array<struct<start, length>> of the ``pieces`` (before, n, after, loss) under the loss.
+
+    What stands before a piece is the sum of whole chunks of chunks, of whole chunks, and of pieces
+    of its own chunk, so that the work grows with the number of pieces and not with its square.
+    """
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    part = lambda xs, i: add(F.slice(xs, (F.floor(i / _CHUNK) * _CHUNK + 1).cast("int"), i % _CHUNK))
+    sums = lambda xs: F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(xs) / _CHUNK).cast("int")), lambda c: add(F.slice(xs, c * _CHUNK + 1, F.lit(_CHUNK)))
+    )
+    at = lambda i, size: F.floor(i / size).cast("int")
+
+    def run(s):
+        before = lambda i: part(s["n0"], i) + part(s["n1"], at(i, _CHUNK)) + add(F.slice(s["n2"], F.lit(1), at(i, _CHUNK * _CHUNK)))
+        each = F.transform(s["p"], lambda p, i: F.struct((before(i) + p["before"]).alias("start"), p["n"].alias("length"), p["loss"].alias("loss")))
+        return F.transform(F.filter(each, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+
+    sizes = lambda p: F.transform(p, lambda x: x["before"] + x["n"] + x["after"])
+    with_sizes = _let(pieces, lambda p: F.struct(p.alias("p"), sizes(p).alias("n0")))
+    with_sums = _let(with_sizes, lambda s: F.struct(s["p"].alias("p"), s["n0"].alias("n0"), sums(s["n0"]).alias("n1")))
+    return _let(_let(with_sums, lambda s: F.struct(s["p"].alias("p"), s["n0"].alias("n0"), s["n1"].alias("n1"), sums(s["n1"]).alias("n2"))), run)
+
+
 def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
     """(conv_id, formatted, loss_spans) with one row per conversation.
 
@@ -73,7 +107,7 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) ->
     formatted = F.array_join(
         F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], _NEXT), F.lit(_CLOSE))), ""
     )
-    # lengths around each text, then one running sum gives the spans
+    # lengths around each text, from whose running sums the spans follow
     pieces = F.flatten(
         F.transform(
             "blocks",
@@ -88,21 +122,7 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) ->
             ),
         )
     )
-    no_spans = F.expr("CAST(array() AS array<struct<start:int,length:int>>)")
-    spans = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), no_spans.alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["before"] + p["n"] + p["after"]).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["before"]).alias("start"), p["n"].alias("length")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    spans = _spans(pieces)
     return chats.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 

@@ -114,6 +114,14 @@ def test_chats_read_back(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_spans_of_a_very_long_conversation(spark):
+    """More turns than a chunk of chunks holds; each span is where its text is."""
+    turns = [(1, i, "assistant" if i % 3 else "user", f"t{i}<" * (i % 4)) for i in range(4500)]
+    row = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).first()
+    texts = [t.replace("<", "\\l") for _, _, role, t in turns if role == "assistant"]
+    assert [row.formatted[s.start : s.start + s.length] for s in row.loss_spans] == texts
+
+
 def test_chat_query(spark, sf_dir):
     same(queries.op9_chat_formatting(spark, sf_dir), connect(sf_dir).sql(queries.ORACLE_SQL["op9_chat_formatting"]))
 
