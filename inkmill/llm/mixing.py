@@ -8,8 +8,8 @@ target, an entropy to reach or a limit on repetitions.
 The weights are realised over a budget of tokens. A source that is drawn e times over is repeated
 for floor(e) whole epochs, and for the rest of e in part. In each epoch its blocks (documents by a
 hash of the id) are permuted, and the documents within each block; the part is a prefix of that
-order: whole blocks by the sums of their tokens, then a prefix of the one block at the cut. A
-row's copies follow from its own hashes and one row of cuts for each source, so texts are never
+order: whole blocks by the sums of their tokens, then of the one block at the cut whole parts by
+sums, and of the one part at the cut a prefix (a 16-millionth of the source's documents). A row's copies follow from its own hashes and one row of cuts for each source, so texts are never
 shuffled, and a source with a third of all rows is spread over all tasks.
 
 Defined cases: a null source is a source; null texts have no tokens; documents of a source without
@@ -134,9 +134,22 @@ def plan(rows: DataFrame, scratch: Scratch, entropy: float | None = None, repeti
     inside = by_source(rows, few.select("source", "whole")).withColumn("block", _block(F.col("doc_id")))
     o = cuts.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "left")
     inside = inside.join(o, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
-    inside = inside.withColumn("doc_order", _doc_order(F.col("doc_id"), F.col("whole")))
+    inside = scratch.keep(inside.select("source", "tokens", "left", _doc_order(F.col("doc_id"), F.col("whole")).alias("doc_order")), "inside")
+    # first whole parts of the block by the upper bits of that order, then the documents of one part
+    part = F.shiftright("doc_order", 52).alias("part")
+    parts = inside.groupBy("source", part).agg(F.sum("tokens").alias("b"), F.first("left").alias("left"))
+    upto = F.sum("b").over(Window.partitionBy("source").orderBy("part"))
+    part_cut = parts.withColumn("upto", upto).filter("upto > left").groupBy("source").agg(
+        F.min("part").alias("_part"), F.min_by(F.col("left") - (F.col("upto") - F.col("b")), "part").alias("_left")
+    )
+    part_cut = scratch.keep(part_cut.withColumnRenamed("source", "_source"), "part")
+    few_parts = F.broadcast(part_cut) if part_cut.count() <= BROADCAST_SOURCES else part_cut
+    within = inside.join(few_parts, F.col("source").eqNullSafe(F.col("_source")) & (F.shiftright("doc_order", 52) == F.col("_part")))
     so_far = F.sum("tokens").over(Window.partitionBy("source").orderBy("doc_order").rangeBetween(Window.unboundedPreceding, 0))
-    last = inside.withColumn("so_far", so_far).filter("so_far <= left").groupBy("source").agg(F.max("doc_order").alias("cut_doc"))
+    fits = F.max(F.when(F.col("so_far") <= F.col("_left"), F.col("doc_order")))
+    # nothing of the part fits: the cut lies below it
+    below = F.when(F.min("_part") > -2048, F.shiftleft(F.min("_part").cast("long"), 52) - 1)
+    last = within.withColumn("so_far", so_far).groupBy("source").agg(F.coalesce(fits, below).alias("cut_doc"))
     both = drawn_rows.join(at_cut.select(F.col("source").alias("s1"), "cut_block"), F.col("source").eqNullSafe(F.col("s1")), "left")
     both = both.join(last.select(F.col("source").alias("s2"), "cut_doc"), F.col("source").eqNullSafe(F.col("s2")), "left")
     return scratch.keep(both.select("source", "weight", "epochs", "whole", "cut_block", "cut_doc"), "plan")
