@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -165,12 +166,105 @@ def test_last_epoch_is_a_prefix_of_the_permutation(spark):
     assert ordered == sorted(ordered, reverse=True)
 
 
+def test_mixing_query(spark, sf_dir):
+    """The registered query on its whole table, held against plain bisection and plain sorting."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    tokens = Counter()
+    for r in docs.values():
+        tokens[r.source] += count(r.text)
+    rows = queries.op8_mixing(spark, sf_dir).collect()
+    assert {r.doc_id for r in rows} == set(docs)
+    assert all(r.source == docs[r.doc_id].source and r.tokens == count(docs[r.doc_id].text) for r in rows)
+    total, low, high = sum(tokens.values()), 0.0, 1.0
+    for _ in range(60):
+        x = (low + high) / 2
+        powers = {s: (n / total) ** x for s, n in tokens.items()}
+        least = max(tokens[s] / p for s, p in powers.items())
+        low, high = (low, x) if max(powers[s] * least / tokens[s] for s in powers) <= 4 else (x, high)
+    drawn, longest = Counter(), max(count(r.text) for r in docs.values())
+    for r in rows:
+        drawn[r.source] += r.tokens
+    for s, p in powers.items():
+        assert p * least - longest <= drawn[s] <= p * least + 1
+    order = F.struct(mixing._block_order(mixing._block(F.col("doc_id")), F.col("e")), mixing._doc_order(F.col("doc_id"), F.col("e")))
+    ids = spark.createDataFrame([(i,) for i in docs], "doc_id long").crossJoin(spark.range(5).withColumnRenamed("id", "e"))
+    place = {(r.doc_id, r.e): tuple(r.o) for r in ids.select("doc_id", "e", order.alias("o")).collect()}
+    for s in tokens:
+        own = [i for i, r in docs.items() if r.source == s]
+        for e in range(5):
+            taken = {r.doc_id for r in rows if r.source == s and r.epoch == e}
+            assert taken == set(sorted(own, key=lambda i: place[i, e])[: len(taken)])
+
+
 def test_empty_mixture(spark):
     df = corpus(spark).limit(0)
     assert mixing.mix(df, repetition=2.0).count() == 0 == mixing.repeat(df, repetition=2.0).count()
     assert mixing.repeat(corpus(spark), repetition=2.0).columns == df.columns
 
 
+def plain_prediction(model, text):
+    """Best language and cosine of one text, gram by gram."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = " " + re.sub(" +", " ", letters) + " "  # each end has one more space
+    grams = Counter(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n] != " ")
+    vector = Counter()
+    for g, n in grams.items():
+        h = 0
+        for i, c in enumerate(g):
+            if i == 0:
+                h = ord(c) * 0x9E3779B1
+            elif i == 1:
+                h = (h % 2**32 ^ 0x5BD1E995) * 0x85EBCA6B + ord(c) * 0x9E3779B1
+            else:
+                h = (h % 2**32 ^ 0x27D4EB2F) * 0xC2B2AE35 + ord(c) * 0x9E3779B1
+        h %= 2**32
+        h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+        vector[h >> 32 - model.bits] += n
+    norm = math.sqrt(sum((n * float(model.idf[b])) ** 2 for b, n in vector.items()))
+    sims = [sum(n * float(model.weights[b, j]) for b, n in vector.items()) / norm for j in range(model.weights.shape[1])]
+    best = max(range(len(sims)), key=sims.__getitem__)
+    return model.languages[model.owner[best]], sims[best]
+
+
+def test_predictions_are_those_of_plain_python(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs, known)
+    lengths = np.linalg.norm(model.weights / model.idf[:, None], axis=0)
+    assert np.allclose(lengths, 1, atol=1e-4) and len(model.owner) <= langid.CLUSTERS * len(model.languages)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.predict(docs.select("doc_id", "text"), model).collect():
+        if any(c.isalpha() for c in texts[r.doc_id] or ""):
+            lang, sim = plain_prediction(model, texts[r.doc_id])
+            assert r.lang_pred == lang and abs(r.score - min(max(sim, 0), 1)) < 1e-4
+
+
+def test_one_id_with_all_rows_of_a_language(spark):
+    """A language whose rows share an id is learned, from a bounded number of them."""
+    r = random.Random(4)
+    words = {"aa": ["lorem", "ipsum", "dolor", "sit"], "bb": ["kyrie", "zwox", "quux", "jyx"]}
+    text = lambda lang: " ".join(r.choice(words[lang]) for _ in range(20))
+    rows = [(5, text("aa"), "aa") for _ in range(900)] + [(i, text("bb"), "bb") for i in range(10, 60)] + [(7, "once", f"dirt{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True), per_language=100, most_languages=2)
+    assert model.languages == ["aa", "bb"]
+    got = langid.predict(spark.createDataFrame([(1, text("aa")), (2, text("bb"))], "doc_id long, text string"), model)
+    assert {x.doc_id: x.lang_pred for x in got.collect()} == {1: "aa", 2: "bb"}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Whole runs over an empty table, and over nulls and columns whose names operators use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row long, component_id string, whole int, tokens string"
+    good = "der die das und nicht ein ist mit von auf " * 3
+    rows = [(i, good + f"wort{i} satz{i * 7} " * 4, "de", "s", 1, 1, "c", 2, "t") for i in range(30)]
+    rows += [(None, None, None, None, None, None, None, None, None), (40, "", "de", None, 0, 1, "c", 2, "t"), (1, rows[1][1], "de", "s", 1, 1, "c", 2, "t"), (41, "123", "de", "s", 3, 1, "c", 2, "t")]
+    for name, some in (("empty", []), ("odd", rows)):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(some, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert sorted({r.doc_id for r in out}) == (list(range(30)) if some else [])
+
+
 def test_pipeline_stages(spark, sf_dir):
     scratch = Scratch(spark, "stages")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
