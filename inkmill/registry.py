@@ -597,20 +597,42 @@ def json_props(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT lang, source, min(doc_id) AS first_id FROM documents WHERE doc_id % 7 <> 0 GROUP BY ALL),
-l AS (SELECT DISTINCT lang, source FROM documents)
-SELECT lang, source, first_id, first_id IS NOT NULL AS matched FROM l LEFT JOIN d USING (lang, source)"""
+    """WITH l AS (SELECT doc_id, min(quality)::BIGINT AS quality FROM labels GROUP BY doc_id)
+SELECT d.doc_id, l.quality, l.doc_id IS NOT NULL AS matched FROM documents d LEFT JOIN l USING (doc_id)"""
 )
 def label_join(spark, sf_dir):
-    """Groups with the first document that matches them, and those that none matches."""
-    docs = table(spark, sf_dir, "documents").select("lang", "source", "doc_id")
-    keys = docs.select("lang", "source").distinct()
-    found, missing = agreement.match_labels(keys, docs.filter("doc_id % 7 <> 0").withColumnRenamed("doc_id", "first_id"), ["lang", "source"], "first_id")
-    return found.select("lang", "source", "first_id").withColumn("matched", F.lit(True)).unionByName(
-        missing.withColumn("first_id", F.lit(None).cast("long")).withColumn("matched", F.lit(False))
+    """All documents with their first label, and those that have none."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"))
+    found, missing = agreement.match_labels(table(spark, sf_dir, "documents").select("doc_id"), labels, ["doc_id"], "quality")
+    return found.select("doc_id", "quality").withColumn("matched", F.lit(True)).unionByName(
+        missing.withColumn("quality", F.lit(None).cast("long")).withColumn("matched", F.lit(False))
     )
 
 
+@query(
+    """WITH n AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS size FROM embeddings WHERE embedding IS NOT NULL)
+SELECT vec_id, len(embedding)::INTEGER AS components, round(embedding[1]::DOUBLE / size, 6) AS first, round(list_max(embedding)::DOUBLE / size, 6) AS largest FROM n"""
+)
+def vector_index(spark, sf_dir):
+    """A vector index built of one part of the table, appended to with the whole, and loaded again."""
+    from .shared import new_folder
+    from .sources import files
+
+    path, vectors = new_folder(spark, "vectors"), table(spark, sf_dir, "embeddings")
+    files.save_vectors(vectors.filter("label IS NULL OR label < 5"), path, ("vec_id",))
+    files.save_vectors(vectors, path, ("vec_id",), append=True)
+    v = F.col("embedding")
+    return files.load_vectors(spark, path).select(
+        "vec_id", F.size(v).alias("components"), F.round(F.get(v, F.lit(0)), 6).alias("first"), F.round(F.array_max(v), 6).alias("largest")
+    )
+
+
+@query("SELECT count(DISTINCT p_type)::BIGINT AS events, count(*)::BIGINT AS pairs FROM part")
+def pair_events(spark, sf_dir):
+    """Distinct events among pairs, with parts for pairs."""
+    return claims.events_in_pairs(table(spark, sf_dir, "part").select(F.col("p_type").alias("event")))
+
+
 # ---------------------------------------------------------------- models, jobs and streams
 
 
