@@ -16,5 +16,6 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Of length one; a zero vector stays as it is."""
-    size = norm(v)
-    return F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x.cast("double")))
+    # the length is bound to a lambda's variable, so that it is worked out once and not for each component
+    scaled = lambda size: F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x.cast("double")))
+    return F.when(v.isNotNull(), F.get(F.transform(F.array(norm(v)), scaled), F.lit(0)))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 
 class Completer(Protocol):
-    def complete(self, prompt: str) -> str: ...
+    def complete(self, prompt: str, temperature: float | None = None) -> str: ...
 
 
 class Embedder(Protocol):
@@ -44,13 +44,16 @@ class Retry:
     everything: bool = False
     sleep: Callable[[float], None] = field(default=time.sleep, repr=False)
 
-    def call(self, model: Completer, prompt: str, want_json: bool = True) -> tuple[str | None, str | None]:
-        """(reply, error)."""
+    def call(self, model: Completer, prompt: str | None, want_json: bool = True, temperature: float | None = None) -> tuple[str | None, str | None]:
+        """(reply, error); a null prompt is not asked and has neither."""
         error = None
+        if prompt is None:
+            return None, None
+        more = {} if temperature is None else {"temperature": temperature}
         for attempt in range(self.tries):
             last = attempt == self.tries - 1
             try:
-                reply = _unfenced(model.complete(prompt))
+                reply = _unfenced(model.complete(prompt, **more))
                 if want_json:
                     json.loads(reply)
                 return reply, None
@@ -72,7 +75,7 @@ def _unfenced(reply: str) -> str:
     return m[1] if m else reply
 
 
-def complete_with(model: Completer, retry: Retry | None = None, want_json: bool = True, slots: int | None = None):
+def complete_with(model: Completer, retry: Retry | None = None, want_json: bool = True, slots: int | None = None, temperature: float | None = None):
     """A function that adds ``reply`` and ``error`` to rows with a ``prompt``.
 
     ``slots`` spreads the calls over so many tasks, which bounds how many run at once.
@@ -85,9 +88,10 @@ def complete_with(model: Completer, retry: Retry | None = None, want_json: bool
         @F.pandas_udf(T.StructType().add("reply", T.StringType()).add("error", T.StringType()))
         def call(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for batch in prompts:
-                yield pd.DataFrame([policy.call(model, p, want_json) for p in batch], columns=["reply", "error"])
+                yield pd.DataFrame([policy.call(model, p, want_json, temperature) for p in batch], columns=["reply", "error"])
 
-        return rows.withColumn("_r", call(F.col("prompt"))).select("*", "_r.reply", "_r.error").drop("_r")
+        # a call is not repeated for each use of its reply
+        return rows.withColumn("_r", call.asNondeterministic()(F.col("prompt"))).select("*", "_r.reply", "_r.error").drop("_r")
 
     return run
 
@@ -102,7 +106,7 @@ def embed_with(model: Embedder, text: Column, batch: int = 64) -> Column:
             vectors = [v for i in range(0, len(texts), batch) for v in model.embed(texts[i : i + batch])]
             yield pd.Series([np.asarray(v, np.float32) for v in vectors])
 
-    return embed(text)
+    return embed.asNondeterministic()(text)  # so that no filter on the vectors embeds every text again
 
 
 @dataclass
@@ -130,7 +134,7 @@ class KeywordCompleter:
 
     hints: dict[str, list[str]] = field(default_factory=dict)
 
-    def complete(self, prompt: str) -> str:
+    def complete(self, prompt: str, temperature: float | None = None) -> str:
         text = prompt.partition("Text:\n")[2].partition("\nReply with JSON")[0] or prompt.partition("Passages:\n")[2].partition("\nReply with JSON")[0]
         author = re.search(r"^Author: (.*)$", prompt, re.MULTILINE)
         found = lambda event: self._sentences(text, event)
@@ -157,7 +161,7 @@ class KeywordCompleter:
 class OverlapJudge:
     """Scores two lists of claims by the share of the author's words that the primary side has."""
 
-    def complete(self, prompt: str) -> str:
+    def complete(self, prompt: str, temperature: float | None = None) -> str:
         a, _, b = prompt.partition("\nReply with JSON")[0].partition("Author claims:")
         left, right = (set(re.findall(r"[a-z]{4,}", x.lower())) for x in (a, b))
         score = round(100 * len(left & right) / len(right)) if right else 0
@@ -165,8 +169,7 @@ class OverlapJudge:
         return json.dumps({"consistency_score": score, "contradictions": contradictions, "reasoning": "word overlap"})
 
 
-JUDGE_PROMPT = """Compare an author's claims about an event with those of the primary sources.
-
+_JUDGED = """
 Event: {event}
 
 Primary claims:
@@ -178,16 +181,35 @@ Author claims:
 Reply with JSON only:
 {{"consistency_score": 0, "contradictions": [{{"type": "factual, interpretive or omission", "reason": "..."}}], "reasoning": "..."}}
 """
-
-
-def judge(work: DataFrame, model: Completer, template: str = JUDGE_PROMPT, retry: Retry | None = None) -> DataFrame:
-    """Scores of a work plan of pairs (event, primary_claims, author, author_claims, ...); one try by
-    default; a reply that cannot be read has a null score and an error."""
+#: A template for each strategy of a work plan.
+JUDGE_PROMPTS = {
+    "zero_shot": "Compare an author's claims about an event with those of the primary sources, and score from 0 to 100 how well they agree.\n" + _JUDGED,
+    "chain_of_thought": (
+        "Compare an author's claims about an event with those of the primary sources, step by step: list what each side says, pair up what concerns "
+        "the same thing, name each disagreement and its kind, and only then score from 0 to 100 how well they agree. Give the steps as the reasoning.\n" + _JUDGED
+    ),
+    "few_shot": (
+        "Compare an author's claims about an event with those of the primary sources, and score from 0 to 100 how well they agree.\n\n"
+        "Example: the sources say a speech was short and in the afternoon, the author says it took two minutes. Nothing disagrees: score 95.\n"
+        "Example: the sources give one day, the author another, and the rest agrees: one factual contradiction, score 60.\n"
+        "Example: the author tells of a meeting that the sources exclude: score 10.\n" + _JUDGED
+    ),
+}
+
+
+def judge(work: DataFrame, model: Completer, templates: dict[str, str] | None = None, retry: Retry | None = None, temperature: float | None = None) -> DataFrame:
+    """Scores of a work plan of pairs (event, primary_claims, author, author_claims, prompt_type, ...),
+    each asked by its strategy's template; one try by default; a reply that cannot be read, or a
+    strategy without a template, has a null score and an error."""
     from .operators.extraction import claims_prompt
 
-    prompt = claims_prompt(template, F.col("primary_claims"), F.col("author_claims"), event=F.col("event"))
-    reply = "struct<consistency_score:int,contradictions:array<struct<type:string,reason:string>>,reasoning:string>"
-    scored = complete_with(model, retry or Retry(tries=1))(work.withColumn("prompt", prompt)).withColumn("r", F.from_json("reply", reply))
+    prompt = F.lit(None).cast("string")
+    for name, template in (templates or JUDGE_PROMPTS).items():
+        filled = claims_prompt(template, F.col("primary_claims"), F.col("author_claims"), event=F.col("event"))
+        prompt = F.when(F.col("prompt_type") == name, filled).otherwise(prompt)
+    reply = "struct<consistency_score:double,contradictions:array<struct<type:string,reason:string>>,reasoning:string>"
+    complete = complete_with(model, retry or Retry(tries=1), temperature=temperature)
+    scored = complete(work.withColumn("prompt", prompt)).withColumn("r", F.from_json("reply", reply))
     score = F.col("r.consistency_score")
     return scored.select(
         *work.columns, score.alias("score"), F.col("r.contradictions").alias("contradictions"), F.col("r.reasoning").alias("reasoning"),

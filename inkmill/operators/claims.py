@@ -45,6 +45,11 @@ def event_counts(primary: DataFrame, authors: DataFrame) -> DataFrame:
     return p.join(a, "event", "full_outer").na.fill(0)
 
 
+def events_in_pairs(pairs: DataFrame) -> DataFrame:
+    """(events, pairs): how many distinct events the comparison pairs have, and how many pairs there are."""
+    return pairs.agg(F.count_distinct("event").alias("events"), F.count("*").alias("pairs"))
+
+
 def document_counts(extractions: DataFrame) -> DataFrame:
     """(document_id, events_with_claims, claims)."""
     return extractions.groupBy("document_id").agg(F.count_if(F.size("claims") > 0).alias("events_with_claims"), F.sum(F.greatest(F.size("claims"), F.lit(0))).alias("claims"))

@@ -10,6 +10,7 @@ from ..functions.header import parse_header
 from ..functions.links import archive_id, url_type
 from ..functions.names import normalize_name
 from ..functions.text import fix_encoding, normalize_field, or_else
+from ..shared import new_folder
 
 
 def first_match(left: DataFrame, right: DataFrame, on: str, order: str) -> tuple[DataFrame, DataFrame]:
@@ -106,17 +107,29 @@ def for_hybrid(docs: DataFrame) -> DataFrame:
 def with_default_id(docs: DataFrame, prefix: str, order: str) -> DataFrame:
     """Rows without an id get ``prefix`` and their number, from 0 in order of ``order``.
 
-    Numbers come from counts per range of ``order``, not from one sorted task.
+    Numbers come from counts per range of ``order``, not from one sorted task. The ranges are written
+    once, so that rows and counts speak of the same ones.
     """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     missing = docs.filter(F.col("id").isNull())
-    ranged = missing.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    ranged = missing.repartitionByRange(parts, F.col(order)).withColumn("_p", F.spark_partition_id())
+    folder = new_folder(spark, "ids")
+    ranged.write.parquet(folder)
+    ranged = spark.read.schema(ranged.schema).parquet(folder)
     numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    counts = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
+    # one row for each range
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     named = numbered.join(F.broadcast(before), "_p").withColumn("id", F.concat(F.lit(prefix), F.col("_b") + F.col("_i") - 1))
     return docs.filter(F.col("id").isNotNull()).unionByName(named.select(*docs.columns))
 
 
+def files_per_item(items: DataFrame, files: str = "files") -> DataFrame:
+    """Adds the number of files of each item; none counts as 0."""
+    return items.withColumn("n_files", F.coalesce(F.size(files), F.lit(0)))
+
+
 def report(docs: DataFrame, by: str, content: str = "content") -> DataFrame:
     """Entries, characters and average characters (whole numbers) of each group."""
     return docs.groupBy(by).agg(

@@ -111,17 +111,19 @@ def _records(rows: DataFrame, reply: Column) -> DataFrame:
 def direct(docs: DataFrame, complete, fill: DataFrame | None = None) -> DataFrame:
     """Records of small documents (id, title, document_type, author, content), all events in one reply.
 
-    A document whose reply fails has no records; with ``fill`` (the event dimension) it has an
-    empty one for each event that is missing.
+    A document whose reply fails has no records; with ``fill`` (the small event dimension) it has
+    an empty one for each event that is missing. Each document is asked about once.
     """
     prompt = render(DIRECT_PROMPT, document_title=F.col("title"), author=F.col("author"), events_list=_events_list(), document_content=F.col("content"))
     replied = complete(docs.withColumn("prompt", prompt)).withColumn("r", F.from_json("reply", REPLIES))
-    out = _records(replied.select("*", F.explode("r.extractions").alias("e")), F.col("e"))
     if fill is None:
-        return out
-    wanted = with_events(docs.select("id", "title", "document_type", "author"), fill.select(F.col("event").alias("wanted")))
-    missing = wanted.join(out.select(F.col("document_id").alias("id"), F.col("event").alias("wanted")), ["id", "wanted"], "left_anti")
-    return out.unionByName(_records(missing, record(F.lit(None).cast(REPLY), F.col("wanted"), F.col("author"), NOTHING)))
+        return _records(replied.select("*", F.explode("r.extractions").alias("e")), F.col("e"))
+    wanted = F.broadcast(fill.agg(F.collect_list("event").alias("wanted")))
+    known = F.coalesce("r.extractions", F.array().cast(replied.schema["r"].dataType["extractions"].dataType))
+    missing = F.filter("wanted", lambda w: ~F.coalesce(F.exists(known, lambda e: e["event"] == w), F.lit(False)))
+    empty = F.transform(missing, lambda w: record(F.lit(None).cast(REPLY), w, F.col("author"), NOTHING))
+    every = replied.crossJoin(wanted).select("*", F.explode(F.concat(known, empty.cast(replied.schema["r"].dataType["extractions"].dataType))).alias("e"))
+    return _records(every, F.col("e"))
 
 
 def batched(books: DataFrame, events: DataFrame, complete, size: int = chunking.BATCH_CHARS, overlap: int = chunking.BATCH_OVERLAP) -> DataFrame:
@@ -141,9 +143,8 @@ def batched(books: DataFrame, events: DataFrame, complete, size: int = chunking.
     texts = assemble(pairs.withColumnRenamed("id", "doc_id"), found).withColumnRenamed("doc_id", "id")
     rows = pairs.join(texts, ["id", "event"])
     final = render(FINAL_PROMPT, document_title=F.col("title"), author=F.col("author"), event_name=F.col("event"), source_content=F.col("text"))
-    has = F.col("text") != NO_TEXT
-    replied = complete(rows.filter(has).withColumn("prompt", final)).withColumn("r", F.from_json("reply", REPLY)).select(*rows.columns, "r")
-    every = replied.unionByName(rows.filter(~has).withColumn("r", F.lit(None).cast(REPLY)))
+    # one branch, so that no prompt of the first stage is asked twice; a null prompt is not asked
+    every = complete(rows.withColumn("prompt", F.when(F.col("text") != NO_TEXT, final))).withColumn("r", F.from_json("reply", REPLY))
     return _records(every, record(F.col("r"), F.col("event"), F.col("author"), NOTHING))
 
 
@@ -153,9 +154,7 @@ def retrieved(books: DataFrame, hits: DataFrame, complete) -> DataFrame:
     joined = hits.groupBy("id", "event").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]).alias("texts"))
     rows = books.join(joined, ["id", "event"], "left")
     prompt = render(FINAL_PROMPT, document_title=F.col("title"), author=F.col("author"), event_name=F.col("event"), source_content=passages(F.col("texts")))
-    has = F.col("texts").isNotNull()
-    replied = complete(rows.filter(has).withColumn("prompt", prompt)).withColumn("r", F.from_json("reply", REPLY)).select(*rows.columns, "r")
-    every = replied.unionByName(rows.filter(~has).withColumn("r", F.lit(None).cast(REPLY)))
+    every = complete(rows.withColumn("prompt", F.when(F.col("texts").isNotNull(), prompt))).withColumn("r", F.from_json("reply", REPLY))
     tone = F.when(F.col("texts").isNull(), NOTHING).otherwise(FAILED)
     return _records(every, record(F.col("r"), F.col("event"), F.col("author"), tone))
 

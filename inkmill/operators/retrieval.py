@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tokens import tokenize
-from ..functions.vectors import normalize
+from ..functions.vectors import dot, normalize
 
 # BM25 parameters, the fusion constant and weights, and how many hits are kept.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -43,7 +43,9 @@ def keyword_index(units: DataFrame, key: tuple[str, ...], text: str = "text") ->
     # exchange. The number is explicit because scores outgrow the small tables that Spark would merge.
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = units.select(*key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("terms")).repartition(parts, *key)
-    postings = tokens.select(*key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
+    postings = tokens.select(*key, F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL").groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
+    # (explode_outer, since Spark would filter the scan by the size of an exploded array, at the cost of
+    # splitting every text twice)
     # all statistics come from the postings, which the search reads too, so texts are split once:
     # counting ``tf`` keeps the shuffled postings the same in every branch, and Spark reuses them
     n = units.agg(F.count("*").alias("n"))
@@ -128,6 +130,14 @@ def vector_search(vectors: DataFrame, queries: DataFrame, key: tuple[str, ...],
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", *key, "rank", "score")
 
 
+def vector_search_within(vectors: DataFrame, queries: DataFrame, key: tuple[str, ...], only: tuple[str, str], k: int = VECTOR_TOP) -> DataFrame:
+    """As ``vector_search``, among the vectors alone whose ``only[1]`` is the query's ``only[0]``: a join
+    on it, so work grows with the pairs that may be hits and each query keeps ``k`` of them."""
+    units = vectors.filter(F.col("embedding").isNotNull()).select(*key, F.col(only[1]).alias("_of"), normalize(F.col("embedding")).alias("v"))
+    asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", F.col(only[0]).alias("_of"), normalize(F.col("embedding")).alias("q"))
+    return _top(units.join(asked, "_of").select("query_id", *key, dot(F.col("v"), F.col("q")).alias("score")), key, k)
+
+
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, key: tuple[str, ...], k: int = FUSED_TOP) -> DataFrame:
     """(query_id, key, rank, score): hits of either list by the sum of their reciprocal ranks.
 
@@ -144,7 +154,9 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, key: tuple[str, ...],
 
 
 def hybrid_search(
-    index: KeywordIndex, vectors: DataFrame, queries: DataFrame, k: int = FUSED_TOP, only: tuple[str, str] | None = None
+    index: KeywordIndex, vectors: DataFrame, queries: DataFrame, k: int = FUSED_TOP, only: tuple[str, str] | None = None, filter_first: bool = False
 ) -> DataFrame:
-    """Keyword and vector search of the same queries (query_id, query, embedding), fused."""
-    return fuse(vector_search(vectors, queries, index.key, VECTOR_TOP, only), keyword_search(index, queries, KEYWORD_TOP, only), index.key, k)
+    """Keyword and vector search of the same queries (query_id, query, embedding), fused. With ``only``,
+    vectors are over-fetched among all and then filtered, or filtered first."""
+    near = vector_search_within(vectors, queries, index.key, only) if only and filter_first else vector_search(vectors, queries, index.key, VECTOR_TOP, only)
+    return fuse(near, keyword_search(index, queries, KEYWORD_TOP, only), index.key, k)

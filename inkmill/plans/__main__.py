@@ -1,8 +1,12 @@
-"""``python -m inkmill.plans``: clean raw files, combine data sets, report on them."""
+"""``python -m inkmill.plans``: clean raw files, combine data sets, report on them, extract events.
+
+Models are named as ``module:factory``, a function without arguments that returns the provider.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 
@@ -11,11 +15,21 @@ from ..sources import files
 from . import jobs
 
 
+def _provider(name: str | None):
+    if not name:
+        return None
+    module, _, factory = name.partition(":")
+    return getattr(importlib.import_module(module), factory)()
+
+
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="inkmill.plans", description=__doc__)
-    p.add_argument("stage", choices=["clean", "combine", "report", "all"])
+    p.add_argument("stage", choices=["clean", "combine", "report", "all", "extract"])
     p.add_argument("--raw", default="data/raw")
     p.add_argument("--processed", default="data/processed")
+    p.add_argument("--out", default="data/extractions")
+    p.add_argument("--model", default="inkmill.models:KeywordCompleter", help="provider of replies")
+    p.add_argument("--embedder", help="provider of vectors: books are then searched instead of read by batches")
     only = p.add_mutually_exclusive_group()
     only.add_argument("--books", action="store_true", help="books only")
     only.add_argument("--archive", action="store_true", help="archive documents only")
@@ -25,6 +39,8 @@ def main(args: list[str] | None = None) -> None:
         jobs.build_dataset(spark, a.raw, a.processed, books=not a.archive, archive=not a.books)
     if a.stage in ("combine", "all"):
         files.write_rows(jobs.combine_dataset(spark, a.processed), f"{a.processed}/all")
+    if a.stage == "extract":
+        jobs.run_extraction(spark, a.processed, a.out, _provider(a.model), _provider(a.embedder), books_only=a.books)
     if a.stage in ("report", "all"):
         documents.report(jobs.combine_dataset(spark, a.processed), "source").show(truncate=False)
 

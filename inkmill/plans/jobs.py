@@ -9,6 +9,7 @@ from .. import models
 from ..functions.prompts import event_query
 from ..operators import agreement, chunking, claims, documents, evaluation, extraction, retrieval
 from ..schemas import ARCHIVE_META, BOOK_META, DOCUMENT, events
+from ..shared import new_folder
 from ..sources import files
 
 def build_dataset(spark: SparkSession, raw: str, processed: str, books: bool = True, archive: bool = True) -> None:
@@ -44,19 +45,43 @@ def hybrid_pipeline(spark: SparkSession, docs: DataFrame, model: models.Complete
     """Extraction records: books by retrieval of passages for each event, other documents directly."""
     big, small = documents.route(_inputs(docs), F.col("document_type") == "Book")
     complete = models.complete_with(model, models.Retry(everything=True))
-    chunks = chunking.chunk_documents(big, doc_id="id")
     key = ("id", "chunk_id")
-    index = files.load_or_build(spark, index_path, key, chunks) if index_path else retrieval.keyword_index(chunks, key)
-    vectors = chunks.select(*key, models.embed_with(embedder, F.col("text")).alias("embedding"))
-    pairs = extraction.with_events(big.drop("content"), events(spark).select("event"))
+    folder = index_path or new_folder(spark, "hybrid")
+    # chunks, their vectors and those of the few event queries are written once, so each text is embedded once
+    vectors = files.load_vectors(spark, f"{folder}/vectors")
+    index = files.load_index(spark, folder, key)
+    if vectors is None or index is None:
+        chunking.chunk_documents(big, doc_id="id").write.mode("overwrite").parquet(f"{folder}/chunks")
+        chunks = spark.read.parquet(f"{folder}/chunks")
+        files.save_index(retrieval.keyword_index(chunks, key), folder)
+        files.save_vectors(chunks.select(*key, models.embed_with(embedder, F.col("text")).alias("embedding")), f"{folder}/vectors", key)
+        index, vectors = files.load_index(spark, folder, key), files.load_vectors(spark, f"{folder}/vectors")
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    dimension = events(spark).select("event", event_query(F.col("event")).alias("query"))
+    queries = new_folder(spark, "queries")
+    dimension.withColumn("embedding", models.embed_with(embedder, F.col("query"))).write.parquet(queries)
+    pairs = extraction.with_events(big.drop("content"), dimension.select("event"))
     # one batch of queries: every event in every book
-    asked = pairs.select(F.concat_ws("\x1f", "id", "event").alias("query_id"), F.col("id").alias("book"), event_query(F.col("event")).alias("query"))
-    asked = asked.withColumn("embedding", models.embed_with(embedder, F.col("query")))
-    hits = retrieval.hybrid_search(index, vectors, asked, only=("book", "id")).join(chunks.select(*key, "text"), list(key))
+    asked = pairs.select("event", F.concat_ws("\x1f", "id", "event").alias("query_id"), F.col("id").alias("book")).join(F.broadcast(spark.read.parquet(queries)), "event")
+    hits = retrieval.hybrid_search(index, vectors, asked, only=("book", "id"), filter_first=True).join(chunks.select(*key, "text"), list(key))
     found = hits.select("id", F.split_part("query_id", F.lit("\x1f"), F.lit(2)).alias("event"), "rank", "text")
     return extraction.retrieved(pairs, found, complete).unionByName(extraction.direct(small, complete))
 
 
+def run_extraction(spark: SparkSession, processed: str, out: str, model: models.Completer, embedder: models.Embedder | None = None, books_only: bool = False) -> None:
+    """Extraction over the combined data set with its sinks: records by document and event, and the
+    run's envelopes. With an embedder books go by retrieval (its index is kept under ``out``), else by batches."""
+    docs = combine_dataset(spark, processed)
+    docs = docs.filter("document_type = 'Book'") if books_only else docs
+    records = hybrid_pipeline(spark, docs, model, embedder, f"{out}/index") if embedder else batched_pipeline(spark, docs, model)
+    # model replies are paid for: they are written once, and every sink reads them
+    records.write.mode("overwrite").parquet(f"{out}/records")
+    records = spark.read.parquet(f"{out}/records")
+    files.write_events(records, f"{out}/events")
+    loc, books = records.filter(~F.startswith("document_id", F.lit("gutenberg_"))), records.filter(F.startswith("document_id", F.lit("gutenberg_")))
+    files.write_envelopes(spark, loc, books, files.run_metadata(type(model).__name__, loc=loc, gutenberg=books), f"{out}/runs")
+
+
 def evaluate(spark: SparkSession, records: DataFrame, model: models.Completer, runs: int = 1) -> DataFrame:
     """Judge scores of every pair, strategy and run. ``records`` carry doc_ord and source."""
     dimension = events(spark)

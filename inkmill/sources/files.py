@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.links import event_slug
+from ..functions.vectors import normalize
 
 
 def _schema(schema):
@@ -61,8 +62,8 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, length) of files; contents are not read."""
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/", -1), -1).alias("name"), "length")
+    """(name, length) of files by name; contents are not read."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/", -1), -1).alias("name"), "length").orderBy("name")
 
 
 def read_labels(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -115,13 +116,32 @@ def write_envelopes(spark: SparkSession, loc: DataFrame, books: DataFrame, metad
         return docs.agg(F.collect_list(F.struct("document_id", "document_title", "document_type", "extractions")).alias(name))
 
     meta = spark.createDataFrame([(json.dumps(metadata),)], "m string").select(
-        F.from_json("m", "extraction_timestamp string, target_events array<string>, model_used string").alias("metadata")
+        F.from_json("m", "extraction_timestamp string, target_events array<string>, model_used string, loc_documents_processed int, gutenberg_documents_processed int").alias("metadata")
     )
     a, b = grouped(loc, "loc_extractions"), grouped(books, "gutenberg_extractions")
     for name, df in (("all", meta.crossJoin(a).crossJoin(b)), ("loc", meta.crossJoin(a)), ("gutenberg", meta.crossJoin(b))):
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
+def run_metadata(model: str, **counted: DataFrame) -> dict:
+    """What an envelope says of its run: when, by which model, for which events, and how many
+    documents each side had (``loc_documents_processed`` and so on)."""
+    from datetime import datetime, timezone
+
+    from ..schemas import EVENTS
+
+    counts = {f"{side}_documents_processed": rows.select("document_id").distinct().count() for side, rows in counted.items()}
+    return {"extraction_timestamp": datetime.now(timezone.utc).isoformat(timespec="seconds"), "target_events": EVENTS, "model_used": model, **counts}
+
+
+def write_nested(scores: DataFrame, path: str, strategies: list[str]) -> None:
+    """Judge scores as one JSON object a line for each (event, author), with an object for each
+    strategy that holds its score and reasoning."""
+    one = lambda s: F.any_value(F.when(F.col("prompt_type") == s, F.struct("score", "contradictions", "reasoning")), ignoreNulls=True).alias(s)
+    nested = scores.groupBy("event", "author").agg(F.struct(*[one(s) for s in strategies]).alias("results"))
+    nested.write.mode("overwrite").json(path)
+
+
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Appends rows whose keys are not in the table yet; the table may be missing."""
     spark = rows.sparkSession
@@ -147,6 +167,21 @@ def load_index(spark: SparkSession, path: str, key: tuple[str, ...]):
     return KeywordIndex(*(spark.read.parquet(p) for p in parts), key)
 
 
+def save_vectors(vectors: DataFrame, path: str, key: tuple[str, ...], append: bool = False) -> None:
+    """A vector index as a Parquet table (key, embedding of length one); null vectors are left out.
+    ``append`` adds to it; a key that is there already is then not written again."""
+    rows = vectors.filter(F.col("embedding").isNotNull()).select(*key, normalize(F.col("embedding")).alias("embedding"))
+    if append:
+        append_new(rows, path, list(key))
+    else:
+        rows.write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """The saved vectors, or None."""
+    return spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else None
+
+
 def load_or_build(spark: SparkSession, path: str, key: tuple[str, ...], units: DataFrame, text: str = "text"):
     from ..operators.retrieval import keyword_index
 

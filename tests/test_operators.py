@@ -183,3 +183,148 @@ def test_author_ranks_are_numbered_by_range(spark):
     assert [r.rank for r in got] == list(range(1, 401))
     assert [r.author for r in got] == [r.author for r in sorted(got, key=lambda r: (-r.avg_score, r.author))]
     assert evaluation.author_ranking(evaluation.widen(scores.limit(0))).count() == 0
+
+
+def test_default_ids_lose_no_row_over_many_partitions(spark):
+    from inkmill.operators import documents
+
+    rows = [(None if i % 5 else f"have{i}", (i * 7919) % 10007, "x" * 200) for i in range(4000)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        got = documents.with_default_id(spark.createDataFrame(rows, "id string, place int, text string"), "n", "place").select("id", "place").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    missing = sorted(p for i, p, _ in rows if i is None)
+    assert sorted((r.id, r.place) for r in got) == sorted([(i, p) for i, p, _ in rows if i] + [(f"n{k}", p) for k, p in enumerate(missing)])
+
+
+class _Counting:
+    """Replies as the offline completer does, and writes a file for each call."""
+
+    def __init__(self, folder):
+        from inkmill.models import KeywordCompleter
+
+        self.folder, self.inner = str(folder), KeywordCompleter({})
+
+    def complete(self, prompt, temperature=None):
+        import os
+        import uuid
+
+        open(os.path.join(self.folder, uuid.uuid4().hex), "w").close()
+        return self.inner.complete(prompt)
+
+
+class _CountingEmbedder:
+    def __init__(self, folder):
+        from inkmill.models import HashingEmbedder
+
+        self.folder, self.inner = str(folder), HashingEmbedder()
+
+    def embed(self, texts):
+        import os
+        import uuid
+
+        for _ in texts:
+            open(os.path.join(self.folder, uuid.uuid4().hex), "w").close()
+        return self.inner.embed(texts)
+
+
+def _some_documents(spark):
+    book = "On Election Night 1860 the returns came in. Fort Sumter was a hard decision. " * 400
+    rows = [("gutenberg_1", "One", "Book", "A", book), ("gutenberg_2", "Two", "Book", "B", book[:20000]), ("loc_1", "Three", "Letter", "C", "Of the Gettysburg Address.")]
+    return spark.createDataFrame(rows, "id string, title string, document_type string, `from` string, content string")
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    from inkmill.operators import chunking
+    from inkmill.plans import jobs
+
+    docs = _some_documents(spark)
+    batches = chunking.batch_documents(docs.filter("document_type = 'Book'"), doc_id="id").count()
+    records = jobs.batched_pipeline(spark, docs, _Counting(tmp_path)).collect()
+    asked = sum(1 for r in records if r.tone != "Not mentioned" and r.document_id.startswith("gutenberg"))
+    assert batches + asked + 1 <= len(list(tmp_path.iterdir())) <= batches + 10 + 1
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    from inkmill.models import KeywordCompleter
+    from inkmill.operators import chunking
+    from inkmill.plans import jobs
+
+    docs = _some_documents(spark)
+    chunks = chunking.chunk_documents(docs.filter("document_type = 'Book'"), doc_id="id").count()
+    calls, index = tmp_path / "calls", tmp_path / "index"
+    calls.mkdir()
+    run = lambda: jobs.hybrid_pipeline(spark, docs, KeywordCompleter({}), _CountingEmbedder(calls), str(index)).collect()
+    first = run()
+    assert len(list(calls.iterdir())) == chunks + 5
+    assert sorted(map(str, run())) == sorted(map(str, first))
+    assert len(list(calls.iterdir())) == chunks + 10  # the index was loaded; only the queries were embedded again
+
+
+def test_direct_fills_missing_events(spark):
+    from inkmill import models, schemas
+    from inkmill.operators import extraction
+
+    docs = spark.createDataFrame([("d", "T", "Letter", "A", "text"), ("e", "U", "Letter", "B", "")], "id string, title string, document_type string, author string, content string")
+
+    class Half:
+        def complete(self, prompt, temperature=None):
+            if "Document: U" in prompt:
+                raise ValueError("no")
+            return '{"extractions": [{"event": "Gettysburg Address", "author": "A", "claims": ["c"], "tone": "t"}]}'
+
+    rows = extraction.direct(docs, models.complete_with(Half()), schemas.events(spark)).collect()
+    assert sorted((r.document_id, r.event) for r in rows) == sorted((d, e) for d in "de" for e in schemas.EVENTS)
+    assert [(r.event, r.claims) for r in rows if r.claims] == [("Gettysburg Address", ["c"])]
+
+
+def test_judges_differ_by_strategy_and_keep_fractions(spark):
+    from inkmill import models
+
+    class Judge:
+        def complete(self, prompt, temperature=None):
+            score = 1.5 if "Example:" in prompt else 2.5 if "step by step" in prompt else 85.5
+            return f'{{"consistency_score": {score}, "reasoning": "{temperature}"}}'
+
+    work = spark.createDataFrame([("e", ["p"], "a", ["q"], s) for s in ("zero_shot", "chain_of_thought", "few_shot", "other")], "event string, primary_claims array<string>, author string, author_claims array<string>, prompt_type string")
+    got = {r.prompt_type: (r.score, r.reasoning) for r in models.judge(work, Judge(), temperature=0.5).collect()}
+    assert got == {"zero_shot": (85.5, "0.5"), "chain_of_thought": (2.5, "0.5"), "few_shot": (1.5, "0.5"), "other": (None, None)}
+
+
+def test_extraction_job_writes_its_sinks(spark, tmp_path):
+    import json
+
+    from inkmill.models import HashingEmbedder, KeywordCompleter
+    from inkmill.plans import jobs
+    from inkmill.schemas import DOCUMENT
+    from inkmill.sources import files
+
+    docs = _some_documents(spark)
+    full = spark.createDataFrame([], DOCUMENT).unionByName(docs, allowMissingColumns=True)
+    files.write_rows(full.filter("document_type = 'Book'"), str(tmp_path / "in" / "books"))
+    files.write_rows(full.filter("document_type <> 'Book'"), str(tmp_path / "in" / "archive"))
+    for name, embedder in (("batched", None), ("hybrid", HashingEmbedder())):
+        out = str(tmp_path / name)
+        jobs.run_extraction(spark, str(tmp_path / "in"), out, KeywordCompleter({}), embedder)
+        assert spark.read.json(f"{out}/events").count() == 2 * 5 + 5
+        meta = json.loads(spark.read.text(f"{out}/runs/all").first()[0])["metadata"]
+        assert (meta["loc_documents_processed"], meta["gutenberg_documents_processed"]) == (1, 2)
+
+
+def test_small_reports(spark, tmp_path):
+    from inkmill.operators import claims, documents
+    from inkmill.sources import files
+
+    items = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "id int, files array<string>")
+    assert [r.n_files for r in documents.files_per_item(items).orderBy("id").collect()] == [2, 0]
+    assert tuple(claims.events_in_pairs(spark.createDataFrame([("x",), ("x",), ("y",)], "event string")).first()) == (2, 3)
+    for n in ("b.txt", "a.txt"):
+        (tmp_path / n).write_text(n)
+    assert [r.name for r in files.list_files(spark, str(tmp_path)).collect()] == ["a.txt", "b.txt"]
+    scores = spark.createDataFrame([("e", "a", "zero_shot", 1.0, None, "r")], "event string, author string, prompt_type string, score double, contradictions array<string>, reasoning string")
+    files.write_nested(scores, str(tmp_path / "nested"), ["zero_shot", "few_shot"])
+    assert spark.read.json(str(tmp_path / "nested")).first().results.zero_shot.score == 1.0
