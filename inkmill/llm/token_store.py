@@ -1,7 +1,7 @@
 """A token store: concatenated ids with Elias-Fano document boundaries.
 
-Texts are encoded where they lie; then their ids, 16 bits each where the vocabulary allows, are
-range-partitioned and sorted by document id, and each task writes segments. A segment holds the ids
+Documents are range-partitioned and sorted by id, and each task encodes its range and writes segments
+(texts travel, since they compress to about the size of their ids and need no table between). A segment holds the ids
 of a run of documents as 16- or 32-bit little-endian integers, the run's document boundaries and its
 document ids as Elias-Fano sequences with select samples, and the number of ids before it in its
 range. Segments are rows of a Parquet table, which any Spark store can hold; ids of the segments
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bpe import byte_letters, runs
-from .common import Scratch, release
+from .common import Scratch
 from .pieces import Splitter, WordCache, as_it_stands, tokenizer_file
 
 _SAMPLE = 64
@@ -163,35 +163,14 @@ _SEGMENT = (
 )
 
 
-def _encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, at, n, width, ids): each document's ids as bytes; ``at`` is the row's number."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("at"))
-
-    def encode(batches):
-        cache, width = _cache(tokenizer)
-        for some in runs(batches, "text", RUN_CHARS):
-            ids, offsets = cache.encode(some.column("text"))
-            cells = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), some.num_rows, [None, pa.py_buffer((offsets * width).astype(np.int64).tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())]
-            )
-            width_ = pa.array(np.full(some.num_rows, width, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [some.column("doc_id"), some.column("at"), pa.array(np.diff(offsets)), width_, cells.cast(pa.binary())], names=["doc_id", "at", "n", "width", "ids"]
-            )
-
-    return rows.mapInArrow(encode, "doc_id long, at long, n long, width int, ids binary")
-
-
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, parts: int | None = None) -> None:
     """Writes every document's ids, each followed by ``end_id``, in ascending order of doc_id.
 
-    ``parts`` ranges are sorted and written in parallel (default: the session's shuffle partitions).
-    Encoded once: the ids are a table of the shared folder before they are dealt to ranges.
+    ``parts`` ranges are sorted, encoded and written in parallel (default: the session's shuffle partitions).
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ids")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = scratch.keep(_encoded(docs, tokenizer), "ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("at"))
     # the row's number spreads one id's repeated rows over ranges, too
     ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "at").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "at")
 
@@ -203,7 +182,9 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, par
         held_ids: list[bytes] = []
         held_docs: list[int | None] = []
         lengths: list[int] = []
-        size, width = 0, 2
+        size = 0
+        cache, width = _cache(tokenizer)
+        end = end_id.to_bytes(width, "little")
 
         def close():
             nonlocal before, segment, held_ids, held_docs, lengths, size
@@ -220,16 +201,17 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, par
             held_ids, held_docs, lengths, size = [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_arrow)
 
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "n", "width"))
-            for doc, n, width, one in zip(*columns, batch.column("ids"), strict=True):
+        for some in runs(batches, "text", RUN_CHARS):
+            ids, offsets = cache.encode(some.column("text"))
+            raw, cuts = ids.astype(f"<u{width}").tobytes(), (offsets * width).tolist()
+            for doc, i, j in zip(some.column("doc_id").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                n = (j - i) // width
                 if held_docs and (len(held_docs) >= SEGMENT_DOCS or size + n > SEGMENT_IDS):
                     yield close()
-                held_ids += (one.as_py(), end_id.to_bytes(width, "little"))
+                held_ids += (raw[i:j], end)
                 held_docs.append(doc)
                 lengths.append(n + 1)
                 size += n + 1
-            release()
         if held_docs:
             yield close()
 
@@ -237,7 +219,6 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, par
         [("part", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("null_docs", pa.int32()), ("first_doc", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("boundaries", pa.binary()), ("doc_ids", pa.binary())]
     )
     ranged.mapInArrow(write, _SEGMENT).write.parquet(path)
-    scratch.close()
 
 
 def read_store(spark, path: str) -> DataFrame:
