@@ -5,7 +5,7 @@ out as one array of symbols with left and right links. The index maps the rank o
 pair to all its positions. Active ranks are applied in ascending order, every occurrence of a pair
 at once; the pairs that a merge makes or breaks next to it are added to the lists of their ranks
 (broken ones are recognised and passed over when their rank's turn comes). No data leaves the
-partition: there is no shuffle, and memory is bounded by ``run_bytes`` of text plus one document.
+partition: there is no shuffle, and memory is bounded by a batch (``common.BATCH_BYTES``) plus one document.
 
 Defined cases: a null text counts as empty and has no tokens; a null id is returned as it is;
 repeated rows give repeated rows; very long texts form runs of their own; an empty table gives an
@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import release
+from .common import release, small_batches
 from .pieces import Splitter, WordCache, special_tokens, tokenizer_file
 
 #: Characters of text that share one pair occurrence index.
-RUN_CHARS = 2 << 20
+RUN_CHARS = 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -189,6 +189,7 @@ def runs(batches: Iterable[pa.RecordBatch], column: str, chars: int = RUN_CHARS)
             end = max(start + 1, int(np.searchsorted(sizes, base + chars, "right")))
             yield batch.slice(start, end - start)
             start = end
+        del batch  # or it would be held while the next one is read
         release()
 
 
@@ -206,7 +207,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
                 [*(batch.column(c) for c in keep), pa.array(np.diff(offsets)), lists],
                 names=schema.fieldNames(),
             )
+            del batch
 
+    small_batches(docs.sparkSession)
     return docs.select(*wanted).mapInArrow(run, schema)
 
 
@@ -243,5 +246,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ],
                 names=schema.fieldNames(),
             )
+            del batch
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
