@@ -29,7 +29,7 @@ from .common import release, small_batches
 from .pieces import Splitter, WordCache, special_tokens, tokenizer_file
 
 #: Characters of text that share one pair occurrence index.
-RUN_CHARS = 1 << 20
+RUN_CHARS = 2 << 20
 
 
 def byte_letters() -> dict[int, str]:
