@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_search, bpe, chat, langid, mixing, sharding, simhash, token_store, url_filter, vector_tree
+from . import binary_search, bpe, chat, langid, mixing, periodic_runs, sharding, simhash, token_store, url_filter, vector_tree
 from .common import table
 
 #: Fixed values of the URL query's contract: (verdict, host, path).
@@ -80,6 +80,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least six words and four periods in every text, after the contract's rewriting of some."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = docs.select("doc_id", periodic_runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic_runs.digests(periodic_runs.find_runs(texts))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_url_filter": op10_url_filter,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: All other rows ranked by the number of components whose signs differ.
