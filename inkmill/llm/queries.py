@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_search, bpe, chat, langid, mixing, periodic_runs, sharding, simhash, token_store, url_filter, vector_tree
+from . import binary_search, bpe, chat, langid, mixing, periodic_runs, phrases, sharding, simhash, token_store, url_filter, vector_tree
 from .common import table
 
 #: Fixed values of the URL query's contract: (verdict, host, path).
@@ -80,6 +80,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of at least six words and four periods in every text, after the contract's rewriting of some."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_url_filter": op10_url_filter,
+    "op11_phrases": op11_phrases,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -139,4 +144,39 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_binary_search": _OP6_SQL, "op9_chat_formatting": _OP9_SQL}
+#: All runs of one to four words counted, then the same joins.
+_OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), n AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4)) AS s(k)
+), f AS (
+  SELECT lang, k AS m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1
+), cut AS (
+  SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f::HUGEINT + r.f))::BIGINT AS score
+  FROM c JOIN (VALUES (1), (2), (3)) AS s(k) ON k < c.m
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:c.m], ' ')
+), lowest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), covers AS (
+  SELECT lang, array_to_string(ws[i:i + n - 1], ' ') AS phrase, max(a) AS longer
+  FROM c JOIN (VALUES (2), (3)) AS s(n) ON n < m JOIN (VALUES (1), (2), (3)) AS t(i) ON i + n - 1 <= m GROUP BY ALL
+), ranked AS (
+  SELECT x.*, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.phrase) AS rank
+  FROM lowest x LEFT JOIN covers v ON v.lang = x.lang AND v.phrase = x.phrase
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_binary_search": _OP6_SQL, "op9_chat_formatting": _OP9_SQL, "op11_phrases": _OP11_SQL}
