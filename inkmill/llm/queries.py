@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_search, bpe, chat, langid, mixing, periodic_runs, phrases, sharding, simhash, token_store, url_filter, vector_tree
+from . import binary_search, bpe, chat, langid, main_text, mixing, periodic_runs, phrases, sharding, simhash, token_store, url_filter, vector_tree
 from .common import table
 
 #: Fixed values of the URL query's contract: (verdict, host, path).
@@ -84,6 +84,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.pages_text(table(spark, sf_dir, "pages"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of at least six words and four periods in every text, after the contract's rewriting of some."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_url_filter": op10_url_filter,
     "op11_phrases": op11_phrases,
+    "op12_main_text": op12_main_text,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
