@@ -1,6 +1,6 @@
 """Sharding by histogram sort, in DataFrame operations only.
 
-Rows are ordered by a 3-part key: lane and hash of the text, hash of the id, and the row's number in
+Rows are ordered by a 3-part key: hash of the text, hash of the id, and the row's number in
 the key table (unique, so that any two rows can be told apart). Splitters that cut this order into
 shards of near-equal bytes are found by counting the exact bytes below candidate boundaries:
 each round splits the interval around every open target at 4096 candidates, sums bytes between
@@ -8,20 +8,20 @@ them over all partitions (map-side combined; at most 4096 sums for each open int
 driver) and keeps the interval that holds the target, until a boundary lies within the tolerance.
 Then the rows are exchanged once, by fine bucket.
 
-A boundary can be no nearer to its target than the row it falls beside allows. The lane, the key's
-first 12 bits, keeps it away from rows larger than the tolerance: there are at most shards /
-tolerance of them (32,000 for 16 shards), they are dealt to the shard with the fewest bytes, largest
-first, and take the lane in the middle of that shard, between two lanes of ordinary rows, whose
-number of bytes follows from what the shard has already.
+A boundary can be no nearer to its target than half the row it falls in. Only documents of more than
+``CARRIED`` of a shard's bytes would spoil that; there are at most shards / CARRIED of them (256 for 16
+shards), whatever the table. They are carried to the shard with the fewest bytes, largest first, and
+stand before its other rows; targets are what each shard lacks then. All other rows are ranges of one
+sorted key, and a shard's bytes differ from the mean by at most half a row at either end.
 
-Copies of one text are neighbours in the order, but for those that are large. Only a splitter that
-falls inside such a group divides it, which is what lets a group of a third of all rows be cut into
-near-equal shards.
+Copies of one text are neighbours in the order, but for carried ones. Only a splitter that falls inside
+such a group divides it, which is what lets a group of a third of all rows be cut into near-equal shards.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +31,11 @@ from pyspark.sql.window import Window
 
 from .common import Scratch
 
+_LOG = logging.getLogger(__name__)
+#: A document of more than this part of a shard's bytes is carried to a shard instead of cut around.
+CARRIED = 1 / 16
 _BITS = 12
-#: Lanes in the first digit of the key: three a shard.
-MOST_SHARDS = (1 << _BITS) // 3
+MOST_SHARDS = 1 << _BITS
 #: Key parts from the most significant, as (column, bits).
 _PARTS = (("k1", 64), ("k2", 64), ("k3", 64))
 _WIDTH = sum(b for _, b in _PARTS)
@@ -166,48 +168,33 @@ def _level(loads: list[int], total: int) -> list[float]:
         full |= over
 
 
-def _lanes(keys: DataFrame, shards: int, limit: float, total: int) -> tuple[DataFrame, list[float]]:
-    """``keys`` with the lane before the hash in ``k1``, and the bytes wanted in each shard."""
+def _carried(keys: DataFrame, shards: int, limit: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """(row number, shard) of each row larger than ``limit``, and the bytes of such rows in each shard."""
     large = keys.filter(F.col("size") > limit).select("k3", "size").collect()
+    _LOG.info("%d documents of more than %d bytes are carried to their shards", len(large), limit)
     queue = [(0, s) for s in range(shards)]
     loads, places = [0] * shards, []
     for r in sorted(large, key=lambda r: (-r["size"], r["k3"])):
         load, s = heapq.heappop(queue)
         loads[s] = load + r["size"]
-        places.append((r["k3"], 3 * s + 1))
+        places.append((r["k3"], s))
         heapq.heappush(queue, (loads[s], s))
-    want = _level(loads, total)
-    # the hashes of ordinary rows are dealt in proportion to what each shard lacks
-    lacks = [w - load for w, load in zip(want, loads, strict=True)]
-    span, ends, below = 1 << (64 - _BITS), [], 0.0
-    for x in lacks:
-        ends += [below + x / 2, below + x]
-        below += x
-    ends = [min(span, int(e / below * span)) if below else span for e in ends[:-1]]
-    hashed = F.shiftrightunsigned("k1", _BITS)
-    half = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= hashed))
-    lane = F.floor(half / 2) * 3 + F.pmod(half, F.lit(2)) * 2
-    if places:
-        known = F.broadcast(keys.sparkSession.createDataFrame(places, "k3 long, lane long"))
-        keys = keys.join(known, "k3", "left").withColumn("lane", F.coalesce("lane", lane))
-    else:
-        keys = keys.withColumn("lane", lane)
-    k1 = F.shiftleft(F.col("lane").cast("long"), 64 - _BITS).bitwiseOR(hashed).bitwiseXOR(F.lit(-(1 << 63)))
-    return keys.select("doc_id", "size", "text_crc32", k1.alias("k1"), "k2", "k3"), want
+    return places, loads
 
 
 def shard_by_bytes(
-    docs: DataFrame, shards: int = 16, buckets_per_shard: int = 16, tolerance: float = 0.0005
+    docs: DataFrame, shards: int = 16, buckets_per_shard: int = 16, tolerance: float = 0.0005, carried: float = CARRIED
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): shards of near-equal bytes, slots gapless from 0.
 
-    ``size`` is the text's UTF-8 bytes plus 1. A shard's bytes differ from the mean by about
-    ``tolerance`` of it at either end, unless single documents are larger than what is left for
-    them. ``buckets_per_shard`` sets how many tasks number the rows of one shard.
+    ``size`` is the text's UTF-8 bytes plus 1. A boundary is off its target by ``tolerance`` of a
+    shard's mean or by half the row that stands there, whichever is more. ``buckets_per_shard`` sets how
+    many tasks number the rows of one shard.
 
     Defined cases: a null text has size 1 and checksum 0; a null id is an ordinary key value;
-    repeated rows are separate rows with separate slots; an empty table gives an empty result;
-    extra columns are ignored.
+    a text of more than ``carried`` of the mean is a row of its own place (its copies may lie in
+    several shards), and a shard that it fills alone may hold more than the mean; repeated rows are
+    separate rows with separate slots; an empty table gives an empty result; extra columns are ignored.
     """
     if not 1 <= shards <= MOST_SHARDS:
         raise ValueError(f"1 to {MOST_SHARDS} shards")
@@ -228,19 +215,26 @@ def shard_by_bytes(
     total = hashed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
     if not total:
         return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, shard int, slot long")
-    limit = tolerance * total / shards
-    keys, want = _lanes(hashed, shards, limit, total)
+    limit = carried * total / shards
+    places, loads = _carried(hashed, shards, limit)
+    lacks = [w - load for w, load in zip(_level(loads, total), loads, strict=True)]
+    keys = hashed.filter(F.col("size") <= limit)
     wanted, below = [], 0.0
-    for shard, share in enumerate(want):
+    for shard, share in enumerate(lacks):
         wanted += [(below + share * i / buckets_per_shard, share / buckets_per_shard / 4) for i in range(1, buckets_per_shard)]
         below += share
         if shard < shards - 1:
-            wanted.append((below, limit))
-    cuts = _splitters(keys, wanted)
+            wanted.append((below, tolerance * total / shards))
+    cuts = _splitters(keys, wanted) if total > sum(loads) else [0] * len(wanted)
     edges, splitters = sorted(cuts[buckets_per_shard - 1 :: buckets_per_shard]), sorted(set(cuts))
     placed = _bucket(keys, splitters, spark)
+    # the carried rows of a shard are a bucket of their own, numbered below 0
+    known = F.broadcast(spark.createDataFrame(places, "k3 long, carried int"))
+    apart = hashed.filter(F.col("size") > limit).join(known, "k3").withColumn("bucket", -1 - F.col("carried"))
+    placed = placed.unionByName(apart.select(placed.columns))
     counts = {r["bucket"]: r["n"] for r in placed.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-    offsets, filled = [], [0] * shards
+    filled = [counts.get(-1 - s, 0) for s in range(shards)]
+    offsets = [(-1 - s, s, 0) for s in range(shards)]
     for i in range(len(splitters) + 1):
         shard = bisect_right(edges, splitters[i - 1]) if i else bisect_right(edges, 0)
         offsets.append((i, shard, filled[shard]))
