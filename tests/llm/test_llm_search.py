@@ -345,3 +345,43 @@ def test_ids_with_several_codes_take_one_place_each(spark):
                     best[i] = min(best.get(i, 64), (a ^ c).bit_count())
         wanted += [(q, k + 1, i, d) for k, (d, i) in enumerate(sorted((d, i) for i, d in best.items())[:10])]
     assert got == wanted
+
+
+@pytest.mark.parametrize("copies", [400, 800])
+def test_a_pair_of_a_crowd_comes_out_once(spark, monkeypatch, copies):
+    """Copies of one text with so many words changed that each pair is about as near as the threshold."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = {}
+    for i in range(copies):
+        words = list(base)
+        for _ in range(rng.randint(3, 5)):
+            words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    met = []
+    meetings = near_copies._meetings
+
+    def seen(*args):
+        out = meetings(*args)
+        met.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(near_copies, "_meetings", seen)
+    got = {r.id: r.component_id for r in near_copies.groups(spark.createDataFrame(list(texts.items()), "id long, text string").repartition(8), "id").collect()}
+    rows, pairs = met[0]
+    print(f"{copies} copies: {rows} rows for {pairs} pairs")
+    assert 0 < rows <= 1.5 * pairs
+    sets = {i: set(near_copies.shingle_set(t, 5).tolist()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a in texts:
+        for b in range(a + 1, copies):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert got == {i: find(i) for i in texts}
