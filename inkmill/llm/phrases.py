@@ -9,12 +9,17 @@ ranges of keys (words in order, so a range is a set of prefixes), merged in orde
 its prefixes; those that reach beyond a batch are added up afterwards. Ranges follow from the runs
 themselves, so a prefix with a third of all windows spans many of them.
 
+A window goes on only over pairs of words that may occur ``least`` times. That is told by a pass before:
+pairs are counted by hash, and those of frequent hashes set bits of a filter of bounded size, which goes to
+all tasks. It lets some others through and keeps none out, so counts of frequent phrases stay exact; where it
+is too full to tell pairs apart, windows are longer and nothing else changes.
+
 Only phrases that occur ``least`` times leave that step; everything after it is joins of these.
 """
 
 from __future__ import annotations
 
-import re
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +34,8 @@ from .common import Scratch, release, small_batches
 #: Words of a phrase at most.
 LONGEST = 4
 #: Fixed values of the contract: pieces end at these, words at spaces and tabs.
-_TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]")
 _ENDS = b".,;:!?\n\x0b\x0c\r"
+_TO_END = bytes.maketrans(_ENDS, b"\x00" * len(_ENDS))
 #: Entries of a container before it bursts; windows a task holds before it spills; tokens worked on at once.
 BURST, HELD, TOKENS = 4096, 1 << 20, 1 << 18
 #: Bits of a word's number. Numbers are given anew when half of them are used up.
@@ -56,21 +61,21 @@ class HatTrie:
     def __init__(self, burst: int = BURST):
         self.burst, self.root, self.size = burst, {}, 0
 
-    def add(self, first: list[int], rest: list[int]) -> None:
+    def add(self, first: list[int], rest: list[int], counts: list[int] | None = None) -> None:
         root = self.root
-        for a, s in zip(first, rest, strict=True):
+        for a, s, n in zip(first, rest, counts or itertools.repeat(1)):
             box, place, key, shift = root.get(a), root, a, (LONGEST - 1) * BITS
             while box.__class__ is _Node:
                 shift, place = box.shift, box.children
                 key, s = s >> shift, s & ((1 << shift) - 1)
                 box = place.get(key)
             if box is None:
-                place[key] = {s: 1}
+                place[key] = {s: n}
                 self.size += 1
             elif s in box:
-                box[s] += 1
+                box[s] += n
             else:
-                box[s] = 1
+                box[s] = n
                 self.size += 1
                 if len(box) > self.burst and shift > BITS:
                     place[key] = self._burst(box, shift - BITS)
@@ -108,31 +113,39 @@ class HatTrie:
 
 
 class _Numbers(dict):
-    """Numbers from 1 for words; what ends a piece is 0."""
+    """Numbers from 1 for words; the end of a piece is 0."""
 
     def __init__(self):
-        super().__init__((bytes([c]), 0) for c in _ENDS)
+        super().__init__({b"\x00": 0})
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self) - len(_ENDS) + 1
+        self[word] = number = len(self)
         return number
 
     def words(self) -> pa.Array:
-        return pa.array([b"", *list(self)[len(_ENDS) :]], pa.binary()).cast(pa.string())
+        return pa.array(list(self), pa.binary()).cast(pa.string())
+
+
+def _tokens(text: bytes) -> list[bytes]:
+    """Words, and NUL for the end of a piece. (The text has no other NUL; ends took the other white space.)"""
+    return text.translate(_TO_END).replace(b"\x00", b" \x00 ").split()
 
 
 def _slices(text: bytes) -> Iterator[tuple[list[bytes], int]]:
-    """(tokens, n): the first n begin windows, those after them only follow. Long texts come in parts."""
-    if len(text) <= 4 * TOKENS:
-        tokens = _TOKEN.findall(text)
-        yield tokens, len(tokens)
-        return
-    tokens = []
-    for m in _TOKEN.finditer(text):
-        tokens.append(m.group())
-        if len(tokens) == TOKENS + LONGEST - 1:
-            yield tokens, TOKENS
-            tokens = tokens[TOKENS:]
+    """(tokens, n): the first n begin windows, those after them only follow. Long texts come in parts, cut at
+    spaces and tabs."""
+    more = LONGEST - 1
+    tokens, at = [], 0
+    while len(text) - at > 8 * TOKENS:
+        cut = max(text.rfind(b" ", at, at + 8 * TOKENS), text.rfind(b"\t", at, at + 8 * TOKENS)) + 1
+        if cut <= at:
+            cut = min((x for x in (text.find(b" ", at + 8 * TOKENS), text.find(b"\t", at + 8 * TOKENS)) if x >= 0), default=len(text) - 1) + 1
+        tokens += _tokens(text[at:cut])
+        at = cut
+        if len(tokens) > more:
+            yield tokens, len(tokens) - more
+            tokens = tokens[-more:]
+    tokens += _tokens(text[at:] if at else text)
     yield tokens, len(tokens)
 
 
@@ -141,50 +154,150 @@ def escaped(text: bytes) -> bytes:
     return text.replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x01") if b"\x00" in text or b"\x01" in text else text
 
 
-class _Counter:
-    """A task's trie with its numbers of words and languages."""
+class Pairs:
+    """A filter of (language, word, next word) hashes: a bitmap in which each has two bits."""
+
+    #: Bits at least and at most, and bits for each hash in between.
+    LEAST, MOST, EACH = 16, 27, 16
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
+
+    @staticmethod
+    def hashes(lang: np.ndarray, word: np.ndarray, following: np.ndarray) -> np.ndarray:
+        h = (lang * np.uint64(0x9E3779B97F4A7C15)) ^ (word * np.uint64(0xD6E8FEB86659FD93)) ^ (following * np.uint64(0xC2B2AE3D27D4EB4F))
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(32))) & np.uint64((1 << 48) - 1)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for place in (h & self.mask, (h >> np.uint64(21)) & self.mask):
+            out &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+    @classmethod
+    def of(cls, frequent: DataFrame) -> Pairs:
+        """From (h): bits are set by an aggregation over words of the bitmap, of which the driver gets at most 2^21."""
+        bits = min(max(int(frequent.count() * cls.EACH).bit_length(), cls.LEAST), cls.MOST)
+        last = F.lit((1 << bits) - 1)
+        places = F.explode(F.array(F.col("h").bitwiseAND(last), F.shiftright("h", 21).bitwiseAND(last))).alias("p")
+        word = frequent.select(places).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS int))")).alias("b"))
+        table = word.toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[table.column("w").to_numpy()] = table.column("b").to_numpy().view(np.uint64)
+        return cls(words)
+
+
+class _Reader:
+    """A task's numbers of words and languages, and the texts that wait to be worked on, as numbers."""
 
-    def __init__(self, held: int, burst: int):
-        self.held, self.trie = held, HatTrie(burst)
+    def __init__(self):
         self.numbers, self.langs = _Numbers(), {}
-        self.ids: list[np.ndarray] = []
-        self.begins: list[tuple[int, int]] = []
-        self.waiting = 0
+        self._hashes = np.zeros(1, np.uint64)
+        self._waiting: list[tuple[int, int, np.ndarray]] = []
+        self._size = 0
 
-    def add(self, lang: str, text: str) -> Iterator[pa.RecordBatch]:
-        of = self.langs.setdefault(escaped(lang.encode()).decode(), len(self.langs))
+    def add(self, lang: str | None, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, lang) when enough has come together; ``lang`` is -1 where no window begins."""
+        of = self.langs.setdefault(escaped(("und" if lang is None else lang).encode()).decode(), len(self.langs))
         for tokens, n in _slices(escaped(text.encode().lower())):
-            ids = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
-            self.ids.append(np.append(ids, np.zeros(LONGEST, np.int64)))
-            self.begins.append((of, n))
-            self.waiting += len(tokens)
-            if self.waiting >= TOKENS:
-                yield from self.count()
-
-    def count(self) -> Iterator[pa.RecordBatch]:
-        """Puts what waits into the trie, and spills what is over the bound."""
-        if self.ids:
-            ids = np.concatenate(self.ids)
-            lang = np.concatenate([np.repeat([of, -1], [n, len(x) - n]) for x, (of, n) in zip(self.ids, self.begins, strict=True)])
-            at = np.flatnonzero((ids > 0) & (lang >= 0))
-            rest, going = np.zeros(len(at), np.int64), np.ones(len(at), bool)
-            for d in range(1, LONGEST):
-                word = np.where(going, ids[np.minimum(at + d, len(ids) - 1)], 0)
-                going = word > 0
-                rest = rest << BITS | word
-            self.trie.add((lang[at] << BITS | ids[at]).tolist(), rest.tolist())
-            self.ids, self.begins, self.waiting = [], [], 0
+            self._waiting.append((of, n, np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))))
+            self._size += len(tokens)
+            if self._size >= TOKENS:
+                yield self.rest()
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        end = np.zeros(LONGEST, np.int64)
+        ids = np.concatenate([end, *(x for _, _, t in self._waiting for x in (t, end))])
+        lang = np.concatenate([np.full(LONGEST, -1), *(np.repeat([of, -1], [n, len(t) - n + LONGEST]) for of, n, t in self._waiting)])
+        self._waiting, self._size = [], 0
+        return ids, lang
+
+    def full(self) -> bool:
+        return len(self.numbers) > MASK // 2 or len(self.langs) > MASK
+
+    def forget(self) -> None:
+        self.numbers, self.langs, self._hashes = _Numbers(), {}, np.zeros(1, np.uint64)
+
+    def pair_hashes(self, ids: np.ndarray, lang: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the pairs that begin at ``at``, which follow from the words alone."""
+        import xxhash
+
+        if len(self._hashes) < len(self.numbers):
+            new = list(self.numbers)[len(self._hashes) :]
+            self._hashes = np.append(self._hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)))
+        names = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in self.langs), np.uint64, len(self.langs))
+        return Pairs.hashes(names[lang[at]], self._hashes[ids[at]], self._hashes[ids[at + 1]])
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(h, c): counts of pairs of words by hash, one row for each hash and run of texts."""
+
+    def run(batches):
+        reader, held, n = _Reader(), [], 0
+
+        def counted():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 16)].view(np.int64)), pa.array(c[i : i + (1 << 16)])], names=["h", "c"])
+
+        def hashes(ids, lang):
+            at = np.flatnonzero((ids[:-1] > 0) & (lang[:-1] >= 0) & (ids[1:] > 0))
+            return reader.pair_hashes(ids, lang, at)
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for part in reader.add(lang, text) if text else ():
+                    held.append(hashes(*part))
+                    n += len(held[-1])
+                    if n >= 4 * HELD:
+                        yield from counted()
+                        held, n = [], 0
+                    if reader.full():
+                        reader.forget()
+        held.append(hashes(*reader.rest()))
+        yield from counted()
+        release()
+
+    return docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "h long, c long")
+
+
+class _Counter:
+    """A task's trie, filled from what its reader has read."""
+
+    def __init__(self, pairs: Pairs, held: int, burst: int):
+        self.pairs, self.held, self.trie, self.reader = pairs, held, HatTrie(burst), _Reader()
+
+    def count(self, ids: np.ndarray, lang: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Puts windows into the trie, and spills what is over the bound."""
+        at = np.flatnonzero(ids[:-1] > 0)
+        going = np.zeros(len(ids), bool)  # over the pair that begins here
+        both = at[ids[at + 1] > 0]
+        of = np.maximum.accumulate(np.where(lang >= 0, np.arange(len(ids)), 0))  # words that only follow are of the text before
+        if len(both):
+            going[both] = self.pairs.holds(self.reader.pair_hashes(ids, lang[of], both))
+        at = at[lang[at] >= 0]
+        rest, on = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for d in range(1, LONGEST):
+            on = on & going[np.minimum(at + d - 1, len(ids) - 1)]
+            rest = rest << BITS | np.where(on, ids[np.minimum(at + d, len(ids) - 1)], 0)
+        first = lang[at] << BITS | ids[at]
+        alone = rest == 0
+        words, n = np.unique(first[alone], return_counts=True)
+        self.trie.add(words.tolist(), [0] * len(words), n.tolist())
+        self.trie.add(first[~alone].tolist(), rest[~alone].tolist())
         if self.trie.size > self.held:
             yield from self.runs(self.held // 2)
-        if len(self.numbers) > MASK // 2 or len(self.langs) > MASK:
+        if self.reader.full():
             yield from self.runs(0)
-            self.numbers, self.langs = _Numbers(), {}
+            self.reader.forget()
 
     def runs(self, most: int) -> Iterator[pa.RecordBatch]:
         first, rest, counts = self.trie.spill(most)
         if not len(first):
             return
-        words, langs = self.numbers.words(), pa.array(list(self.langs), pa.string())
+        words, langs = self.reader.numbers.words(), pa.array(list(self.reader.langs), pa.string())
         for start in range(0, len(first), 1 << 19):
             a, s, c = first[start : start + (1 << 19)], rest[start : start + (1 << 19)], counts[start : start + (1 << 19)]
             column = lambda x: words.take(pa.array(x, mask=x == 0))
@@ -196,16 +309,17 @@ class _Counter:
                 yield run.slice(i, 1 << 16)
 
 
-def windows(docs: DataFrame, held: int = HELD, burst: int = BURST) -> DataFrame:
+def windows(docs: DataFrame, pairs: Pairs, held: int = HELD, burst: int = BURST) -> DataFrame:
     """(key, c): sorted runs of counted windows; a key is the language and up to four words, split by NUL."""
+    shared = docs.sparkSession.sparkContext.broadcast(pairs.words)
 
     def run(batches):
-        counter = _Counter(held, burst)
+        counter = _Counter(Pairs(shared.value), held, burst)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    yield from counter.add("und" if lang is None else lang, text)
-        yield from counter.count()
+                for part in counter.reader.add(lang, text) if text else ():
+                    yield from counter.count(*part)
+        yield from counter.count(*counter.reader.rest())
         yield from counter.runs(0)
         del counter
         release()
@@ -248,11 +362,13 @@ def _prefix_sums(least: int):
 def counts(scratch: Scratch, docs: DataFrame, least: int, held: int = HELD, burst: int = BURST) -> DataFrame:
     """(key, words, c): every phrase of up to four words with ``least`` occurrences or more, and each
     language (words 0) with the number of its words."""
-    runs = scratch.keep(windows(docs, held, burst), "runs")
+    hashes = pair_counts(docs).groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    frequent = scratch.keep(hashes.select("h"), "frequent")
+    runs = scratch.keep(windows(docs, Pairs.of(frequent), held, burst), "runs")
     parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
     merged = runs.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(_prefix_sums(least), "key string, words int, c long")
     out = scratch.keep(merged.groupBy("key", "words").agg(F.sum("c").alias("c")).filter((F.col("c") >= least) | (F.col("words") == 0)), "counts")
-    scratch.drop(runs)
+    scratch.drop(runs, frequent)
     return out
 
 

@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from inkmill.llm import phrases, queries
@@ -65,7 +66,8 @@ def test_a_common_prefix_spans_ranges(spark):
     rows = [("en", " ".join(f"hot pair w{i} v{i % 7}." for i in range(j, j + 2000))) for j in range(0, 20000, 2000)]
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
     scratch = Scratch(spark, "test")
-    merged = scratch.keep(phrases.windows(docs)).repartitionByRange(8, "key")
+    everything = phrases.Pairs(np.full(1 << 10, -1, np.int64).view(np.uint64))
+    merged = scratch.keep(phrases.windows(docs, everything)).repartitionByRange(8, "key")
     sizes = [r["count"] for r in merged.groupBy(phrases.F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
     got = {r.key.replace("\x00", " "): r.c for r in phrases.counts(scratch, docs, 1000).collect()}
@@ -85,3 +87,20 @@ def test_trie_counts_and_spills_whole_subtrees():
         assert trie.size <= most and not set(first.tolist()) & set(trie.root)
         got.update({(a, s): c for a, s, c in zip(first.tolist(), rest.tolist(), n.tolist())})
     assert got == want
+
+
+def test_the_filter_keeps_no_frequent_pair_out(spark):
+    rng = np.random.default_rng(2)
+    h = (rng.integers(0, 1 << 48, 50000)).astype(np.int64)
+    pairs = phrases.Pairs.of(spark.createDataFrame([(int(x),) for x in h[:5000]], "h long"))
+    assert pairs.holds(h[:5000].view(np.uint64)).all()
+    assert pairs.holds(h[5000:].view(np.uint64)).mean() < 0.05 and len(pairs.words) * 64 >= 16 * 5000
+    assert not phrases.Pairs.of(spark.createDataFrame([], "h long")).holds(h.view(np.uint64)).any()
+
+
+def test_long_texts_come_in_parts(monkeypatch):
+    monkeypatch.setattr(phrases, "TOKENS", 16)
+    for text in (b"ab cd. ef\tgh " * 60, b"x" * 500 + b" y z" * 100, b"a." * 300, b"", b" " * 400 + b"w"):
+        parts = list(phrases._slices(text))
+        assert [t for tokens, n in parts for t in tokens[:n]] == phrases._tokens(text)
+        assert all(len(t) - n == phrases.LONGEST - 1 for t, n in parts[:-1])
