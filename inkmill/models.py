@@ -197,10 +197,13 @@ JUDGE_PROMPTS = {
 }
 
 
-def judge(work: DataFrame, model: Completer, templates: dict[str, str] | None = None, retry: Retry | None = None, temperature: float | None = None) -> DataFrame:
+def judge(
+    work: DataFrame, model: Completer, templates: dict[str, str] | None = None, retry: Retry | None = None, temperature: float | None = None, complete=None
+) -> DataFrame:
     """Scores of a work plan of pairs (event, primary_claims, author, author_claims, prompt_type, ...),
     each asked by its strategy's template; one try by default; a reply that cannot be read, or a
-    strategy without a template, has a null score and an error."""
+    strategy without a template, has a null score and an error. ``complete`` asks in place of the model
+    itself, as one of a ledger does."""
     from .operators.extraction import claims_prompt
 
     prompt = F.lit(None).cast("string")
@@ -208,7 +211,7 @@ def judge(work: DataFrame, model: Completer, templates: dict[str, str] | None =
         filled = claims_prompt(template, F.col("primary_claims"), F.col("author_claims"), event=F.col("event"))
         prompt = F.when(F.col("prompt_type") == name, filled).otherwise(prompt)
     reply = "struct<consistency_score:double,contradictions:array<struct<type:string,reason:string>>,reasoning:string>"
-    complete = complete_with(model, retry or Retry(tries=1), temperature=temperature)
+    complete = complete or complete_with(model, retry or Retry(tries=1), temperature=temperature)
     scored = complete(work.withColumn("prompt", prompt)).withColumn("r", F.from_json("reply", reply))
     score = F.col("r.consistency_score")
     return scored.select(

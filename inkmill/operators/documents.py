@@ -93,15 +93,16 @@ def author_of(sender: Column, document_type: Column) -> Column:
     return F.coalesce(sender, document_type)
 
 
+# What the retrieval job takes for unknown authors, of books and of other documents.
+UNKNOWN_AUTHOR, LETTER_AUTHOR = "Unknown Author", "Abraham Lincoln"
+
+
 def for_hybrid(docs: DataFrame) -> DataFrame:
-    """id, content, title, author and type with the retrieval pipeline's defaults."""
-    return docs.select(
-        "id",
-        "content",
-        F.coalesce("title", F.lit("Unknown")).alias("title"),
-        F.coalesce("from", F.lit("Abraham Lincoln")).alias("author"),
-        F.coalesce("document_type", F.lit("Letter")).alias("document_type"),
-    )
+    """id, title, document_type, author and content with the retrieval job's defaults: a document without
+    a type is a letter; books without a sender are by an unknown author, other documents by Lincoln."""
+    kind = F.coalesce("document_type", F.lit("Letter"))
+    author = F.coalesce("from", F.when(kind == "Book", UNKNOWN_AUTHOR).otherwise(LETTER_AUTHOR))
+    return docs.select("id", F.coalesce("title", F.lit("Unknown")).alias("title"), kind.alias("document_type"), author.alias("author"), "content")
 
 
 def with_default_id(docs: DataFrame, prefix: str, order: str) -> DataFrame:

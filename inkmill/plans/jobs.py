@@ -11,6 +11,7 @@ from ..operators import agreement, chunking, claims, documents, evaluation, extr
 from ..schemas import ARCHIVE_META, BOOK_META, DOCUMENT, events
 from ..shared import new_folder
 from ..sources import files
+from ..sources.ledger import ReplyLedger
 
 def build_dataset(spark: SparkSession, raw: str, processed: str, books: bool = True, archive: bool = True) -> None:
     """Cleans raw books and archive texts into one data set each."""
@@ -34,17 +35,25 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select("id", "title", "document_type", author.alias("author"), "content")
 
 
-def batched_pipeline(spark: SparkSession, docs: DataFrame, model: models.Completer) -> DataFrame:
-    """Extraction records: books by batches, other documents directly."""
+def _completer(model: models.Completer, retry: models.Retry, ledger: ReplyLedger | None):
+    return ledger.completer(model, type(model).__name__, retry) if ledger else models.complete_with(model, retry)
+
+
+def batched_pipeline(spark: SparkSession, docs: DataFrame, model: models.Completer, ledger: ReplyLedger | None = None) -> DataFrame:
+    """Extraction records: books by batches, other documents directly. With a ledger no prompt is paid for twice."""
     big, small = documents.route(_inputs(docs), F.col("document_type") == "Book")
-    complete = models.complete_with(model)
+    complete = _completer(model, models.Retry(), ledger)
     return extraction.batched(big, events(spark), complete).unionByName(extraction.direct(small, complete))
 
 
-def hybrid_pipeline(spark: SparkSession, docs: DataFrame, model: models.Completer, embedder: models.Embedder, index_path: str | None = None) -> DataFrame:
-    """Extraction records: books by retrieval of passages for each event, other documents directly."""
-    big, small = documents.route(_inputs(docs), F.col("document_type") == "Book")
-    complete = models.complete_with(model, models.Retry(everything=True))
+def hybrid_pipeline(
+    spark: SparkSession, docs: DataFrame, model: models.Completer, embedder: models.Embedder, index_path: str | None = None, ledger: ReplyLedger | None = None
+) -> DataFrame:
+    """Extraction records: books by retrieval of passages for each event, other documents directly.
+
+    Unknown senders, titles and types get this job's own defaults (``documents.for_hybrid``)."""
+    big, small = documents.route(documents.for_hybrid(docs), F.col("document_type") == "Book")
+    complete = _completer(model, models.Retry(everything=True), ledger)
     key = ("id", "chunk_id")
     folder = index_path or new_folder(spark, "hybrid")
     # chunks, their vectors and those of the few event queries are written once, so each text is embedded once
@@ -73,8 +82,9 @@ def run_extraction(spark: SparkSession, processed: str, out: str, model: models.
     run's envelopes. With an embedder books go by retrieval (its index is kept under ``out``), else by batches."""
     docs = combine_dataset(spark, processed)
     docs = docs.filter("document_type = 'Book'") if books_only else docs
-    records = hybrid_pipeline(spark, docs, model, embedder, f"{out}/index") if embedder else batched_pipeline(spark, docs, model)
-    # model replies are paid for: they are written once, and every sink reads them
+    ledger = ReplyLedger(spark, f"{out}/replies")
+    records = hybrid_pipeline(spark, docs, model, embedder, f"{out}/index", ledger) if embedder else batched_pipeline(spark, docs, model, ledger)
+    # every sink reads the same records
     records.write.mode("overwrite").parquet(f"{out}/records")
     records = spark.read.parquet(f"{out}/records")
     files.write_events(records, f"{out}/events")
@@ -82,12 +92,26 @@ def run_extraction(spark: SparkSession, processed: str, out: str, model: models.
     files.write_envelopes(spark, loc, books, files.run_metadata(type(model).__name__, loc=loc, gutenberg=books), f"{out}/runs")
 
 
-def evaluate(spark: SparkSession, records: DataFrame, model: models.Completer, runs: int = 1) -> DataFrame:
-    """Judge scores of every pair, strategy and run. ``records`` carry doc_ord and source."""
+def evaluate(
+    spark: SparkSession, records: DataFrame, model: models.Completer, runs: int = 1, temperature: float | None = None, ledger: ReplyLedger | None = None
+) -> DataFrame:
+    """Judge scores of every pair, strategy and run at a temperature. ``records`` carry doc_ord and source.
+    With a ledger each run of a pair is a call of its own, and none is made twice."""
     dimension = events(spark)
     primary = claims.primary_claims(records.filter("source = 'loc'"), dimension)
     authors = claims.author_claims(records.filter("source = 'gutenberg'"), dimension)
-    return models.judge(evaluation.work_plan(claims.comparison_pairs(primary, authors), spark, runs), model)
+    work = evaluation.work_plan(claims.comparison_pairs(primary, authors), spark, runs)
+    complete = ledger.completer(model, type(model).__name__, models.Retry(tries=1), temperature=temperature, apart=("run",)) if ledger else None
+    return models.judge(work, model, temperature=temperature, complete=complete)
+
+
+# How the two evaluations ask, by runs of a pair and temperature.
+SELF_CONSISTENCY, INTER_RATER = {"runs": 5, "temperature": 0.5}, {"runs": 1, "temperature": 0.0}
+
+
+def self_consistency(spark: SparkSession, records: DataFrame, model: models.Completer, ledger: ReplyLedger | None = None) -> DataFrame:
+    """Statistics over five runs of each pair and strategy at a temperature of 0.5."""
+    return evaluation.self_consistency(evaluate(spark, records, model, ledger=ledger, **SELF_CONSISTENCY))
 
 
 def inter_rater(labels: DataFrame, scores: DataFrame) -> DataFrame:

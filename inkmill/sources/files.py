@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.links import event_slug
 from ..functions.vectors import normalize
+from .committed import CommittedTable
 
 
 def _schema(schema):
@@ -143,13 +144,24 @@ def write_nested(scores: DataFrame, path: str, strategies: list[str]) -> None:
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends rows whose keys are not in the table yet; the table may be missing."""
+    """Appends rows whose keys are not in the table yet; the table may be missing. For one writer at a
+    time; ``append_committed`` is for several."""
     spark = rows.sparkSession
     if exists(spark, path):
         rows = rows.join(spark.read.schema(rows.schema).parquet(path).select(*keys), keys, "left_anti")
     rows.write.mode("append").parquet(path)
 
 
+def append_committed(rows: DataFrame, path: str, keys: list[str]) -> int:
+    """Appends rows whose keys are not in the committed table of ``path`` yet, and returns how many; the table
+    may be missing. Several writers may append at once: no key gets in twice."""
+    return CommittedTable(rows.sparkSession, path, rows.schema).append(rows, keys)
+
+
+def read_committed(spark: SparkSession, path: str, schema) -> DataFrame:
+    return CommittedTable(spark, path, schema).read()
+
+
 def save_index(index, path: str) -> None:
     """A keyword index as Parquet tables."""
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")
@@ -168,18 +180,24 @@ def load_index(spark: SparkSession, path: str, key: tuple[str, ...]):
 
 
 def save_vectors(vectors: DataFrame, path: str, key: tuple[str, ...], append: bool = False) -> None:
-    """A vector index as a Parquet table (key, embedding of length one); null vectors are left out.
+    """A vector index as a committed table (key, embedding of length one); null vectors are left out.
     ``append`` adds to it; a key that is there already is then not written again."""
     rows = vectors.filter(F.col("embedding").isNotNull()).select(*key, normalize(F.col("embedding")).alias("embedding"))
+    table = CommittedTable(vectors.sparkSession, path, rows.schema)
     if append:
-        append_new(rows, path, list(key))
-    else:
-        rows.write.mode("overwrite").parquet(path)
+        table.append(rows, list(key))
+        return
+    part = table.write_part(rows)
+    while not table.commit(table.snapshot(), [part]):
+        pass
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame | None:
     """The saved vectors, or None."""
-    return spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else None
+    found = CommittedTable(spark, path, T.StructType()).snapshot()
+    if not found.parts:
+        return None
+    return spark.read.parquet(*(f"{path}/{p['folder']}" for p in found.parts))
 
 
 def load_or_build(spark: SparkSession, path: str, key: tuple[str, ...], units: DataFrame, text: str = "text"):
