@@ -144,6 +144,41 @@ def bm25_filtered(spark, sf_dir):
     return hits.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+def _segments(spark):
+    from .operators.blockmax import SegmentedIndex
+    from .shared import new_folder
+
+    return SegmentedIndex(spark, new_folder(spark, "segments"), "doc_id long, lang string")
+
+
+def _segment_hits(index, spark, sf_dir, only=None):
+    lang = F.get(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("item_id") % 4).cast("int"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), lang.alias("wanted"))
+    return index.search(asked, only=only).hits.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql() + _TOP)
+def bm25_block_max(spark, sf_dir):
+    """As ``bm25_topk``, over an index in blocks of which most are not scored."""
+    index = _segments(spark)
+    index.append(table(spark, sf_dir, "documents"))
+    return _segment_hits(index, spark, sf_dir)
+
+
+@query(_bm25_sql(_LANGS, "lang = wanted") + _TOP)
+def bm25_appended(spark, sf_dir):
+    """As ``bm25_filtered``, over an index to which three parts of the table are appended, one of them twice by
+    name, and of which two segments are merged."""
+    index, docs = _segments(spark), table(spark, sf_dir, "documents")
+    some, others = F.coalesce(F.col("source") == "web", F.lit(False)), F.coalesce(F.col("lang") == "en", F.lit(False))
+    index.append(docs.filter(some), batch="web")
+    index.append(docs.filter(~some & others), batch="en")
+    index.compact()
+    index.append(docs.filter(~some & ~others), batch="rest")
+    index.append(docs.filter(~some & ~others), batch="rest")
+    return _segment_hits(index, spark, sf_dir, only=("wanted", "lang"))
+
+
 _VECTOR_SQL = """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, label, CASE WHEN list_dot_product(e, e) > 0 THEN list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) ELSE e END AS e FROM v),
