@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shared import new_folder
+from .quantiles import BROADCAST_RANGES, exact_quantiles
 
 # Prompt strategies in order, the score from which a pair counts as consistent, and score bands.
 STRATEGIES = ["zero_shot", "chain_of_thought", "few_shot"]
@@ -157,10 +158,10 @@ def histogram(values: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 def box_plot(values: DataFrame, by: str, column: str) -> DataFrame:
     """Quartiles (linear interpolation) and the furthest values within 1.5 times their distance."""
-    q = values.groupBy(by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(by, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = exact_quantiles(values, by, column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = values.join(F.broadcast(q), by).filter(F.col(column).between(low, high))
+    q = F.broadcast(q) if q.count() <= BROADCAST_RANGES else q
+    inside = values.join(q, by).filter(F.col(column).between(low, high))
     return inside.groupBy(by).agg(
         *[F.round(F.first(c), 6).alias(c) for c in ("q1", "median", "q3")], F.min(column).alias("whisker_low"), F.max(column).alias("whisker_high")
     )

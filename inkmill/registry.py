@@ -198,6 +198,15 @@ def vector_topk(spark, sf_dir):
     return retrieval.vector_search(rows, asked, ("vec_id",)).withColumn("score", F.round("score", 6))
 
 
+@query(_VECTOR_SQL.format(key="vec_id") + "SELECT query_id, vec_id, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= 15")
+def vector_cells(spark, sf_dir):
+    """As ``vector_topk``, by cells that are met only where their bounds reach the k-th hit."""
+    from .operators import cells
+
+    rows, asked = _vectors(spark, sf_dir)
+    return cells.cell_search(rows, asked, ("vec_id",)).hits.withColumn("score", F.round("score", 6))
+
+
 @query(
     _VECTOR_SQL.format(key="vec_id, label")
     + """SELECT query_id, vec_id, rank::INTEGER AS rank, score FROM (

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.links import event_slug
 from ..functions.vectors import normalize
+from ..shared import new_folder
 from .committed import CommittedTable
 
 
@@ -108,20 +109,72 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_document(sections: list[tuple[str, DataFrame | str]], path: str) -> None:
+    """One JSON object as the one file ``path/document.json``, from any number of rows.
+
+    ``sections`` are its members in order: a name with a JSON text, or with rows (key, json) that become an array in
+    order of their keys. Tasks write the rows, commas included, as files that follow each other; the file system
+    appends them to each other when all are there. No task and no driver holds more than a row or a buffer.
+    """
+    spark = next(v for _, v in sections if isinstance(v, DataFrame)).sparkSession
+    folder = new_folder(spark, "document")
+    # numbered and written once, so that the first row of an array is the same one for all
+    for i, (_, rows) in enumerate(sections):
+        if isinstance(rows, DataFrame):
+            rows.select("key", "json", F.monotonically_increasing_id().alias("n")).write.parquet(f"{folder}/{i}")
+    lines, fixed = [], []
+    for i, (name, value) in enumerate(sections):
+        head = ("{" if i == 0 else ",") + json.dumps(name) + ":"
+        if isinstance(value, str):
+            fixed.append((i, 0, head + value))
+            continue
+        fixed.append((i, 0, head + "["))
+        fixed.append((i, 2, "]"))
+        rows = spark.read.schema("key string, json string, n long").parquet(f"{folder}/{i}")
+        order = F.struct("key", "n")
+        first = rows.agg(F.min(order).alias("first"))
+        text = F.concat(F.when(order == F.col("first"), "").otherwise(","), F.col("json"))
+        lines.append(rows.crossJoin(F.broadcast(first)).select(F.lit(i).alias("section"), F.lit(1).alias("part"), "key", "n", text.alias("text")))
+    fixed.append((len(sections), 0, "}"))
+    every = spark.createDataFrame(fixed, "section int, part int, text string").select("section", "part", F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("n"), "text")
+    for rows in lines:
+        every = every.unionByName(rows)
+    order = ["section", "part", "key", "n"]
+    # a space and not a line end between rows: the document is one line
+    every.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.option("lineSep", " ").text(f"{folder}/text")
+    _join_files(spark, f"{folder}/text", f"{path}/document.json")
+
+
+def _join_files(spark: SparkSession, folder: str, path: str) -> None:
+    """The files that Spark has written to a folder, in order, as one file that is put in place whole."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
+    there, here = source.getFileSystem(conf), target.getFileSystem(conf)
+    parts = sorted((s.getPath().toString() for s in there.listStatus(source)), key=lambda p: p.rsplit("/", 1)[-1])
+    draft = hadoop.fs.Path(target.getParent(), f".{target.getName()}.draft")
+    here.delete(target.getParent(), True)
+    out = here.create(draft, True)
+    for p in parts:
+        if "/part-" in p:
+            stream = there.open(hadoop.fs.Path(p))
+            hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+    out.close()
+    here.rename(draft, target)
+
+
 def write_envelopes(spark: SparkSession, loc: DataFrame, books: DataFrame, metadata: dict, path: str) -> None:
     """The run as three envelopes (all, archive, books), each one JSON object in its folder."""
 
-    def grouped(rows: DataFrame, name: str) -> DataFrame:
+    def documents(rows: DataFrame) -> DataFrame:
         e = F.struct("event", "author", "claims", "temporal_details", "tone")
         docs = rows.groupBy("document_id", "document_title", "document_type").agg(F.sort_array(F.collect_list(e)).alias("extractions"))
-        return docs.agg(F.collect_list(F.struct("document_id", "document_title", "document_type", "extractions")).alias(name))
-
-    meta = spark.createDataFrame([(json.dumps(metadata),)], "m string").select(
-        F.from_json("m", "extraction_timestamp string, target_events array<string>, model_used string, loc_documents_processed int, gutenberg_documents_processed int").alias("metadata")
-    )
-    a, b = grouped(loc, "loc_extractions"), grouped(books, "gutenberg_extractions")
-    for name, df in (("all", meta.crossJoin(a).crossJoin(b)), ("loc", meta.crossJoin(a)), ("gutenberg", meta.crossJoin(b))):
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        return docs.select(F.col("document_id").alias("key"), F.to_json(F.struct("document_id", "document_title", "document_type", "extractions")).alias("json"))
+
+    head = ("metadata", json.dumps(metadata))
+    a, b = ("loc_extractions", documents(loc)), ("gutenberg_extractions", documents(books))
+    for name, sections in (("all", [head, a, b]), ("loc", [head, a]), ("gutenberg", [head, b])):
+        write_document(sections, f"{path}/{name}")
 
 
 def run_metadata(model: str, **counted: DataFrame) -> dict:

@@ -18,6 +18,12 @@ def documents_stream(spark: SparkSession, folder: str, schema, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(file_format).load(folder)
 
 
+def deduplicated(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
+    """The first row of each ``keys`` in a stream, over all its micro-batches. Keys are state: one is forgotten when
+    the watermark, ``delay`` behind the latest ``time``, has passed its first row by ``delay``; rows later than that are dropped."""
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def extract_incrementally(
     stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str] | None = None, partition_by: list[str] | None = None
 ):
