@@ -6,13 +6,84 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import models
+from ..functions import html
+from ..functions.links import archive_id, image_extension, safe_filename, url_type
 from ..functions.prompts import event_query
+from ..functions.text import or_else
 from ..operators import agreement, chunking, claims, documents, evaluation, extraction, retrieval
 from ..schemas import ARCHIVE_META, BOOK_META, DOCUMENT, events
 from ..shared import new_folder
-from ..sources import files
+from ..sources import api, download, files
+from ..sources.download import Downloads
 from ..sources.ledger import ReplyLedger
 
+# Where books are listed, and seconds between two requests to the archive.
+BOOK_API, ARCHIVE_PAUSE = "https://gutendex.com/books", 3.5
+
+
+def fetch_books(spark: SparkSession, ids: list[int], raw: str, fetcher=None, base: str = BOOK_API) -> DataFrame:
+    """Writes each book's text as ``{id}_{title}.txt`` under ``raw``/gutenberg, and the sidecar of their metadata. Returns
+    (id, title, name, error); a book without a plain text or whose download fails has no file. What was fetched is
+    kept under ``raw``/_downloads, so that a second call fetches only what is missing."""
+    downloads = Downloads(spark, f"{raw}/_downloads", fetcher)
+    listed = downloads.get(spark.createDataFrame([(api.books_url(ids, base),)], "url string"))
+    found = api.books_of(listed.select("url", F.make_valid_utf8(F.col("body").cast("string")).alias("body"), "error"))
+    bodies = downloads.get(found.select(F.col("text_url").alias("url"))).withColumnRenamed("url", "text_url")
+    rows = found.join(bodies, "text_url", "left").withColumn("name", F.concat_ws("_", "id", F.concat(safe_filename(F.col("title"), 50), F.lit(".txt"))))
+    download.write_files(rows, f"{raw}/gutenberg")
+    reference = F.concat(F.lit(base.rstrip("/") + "/"), F.col("id").cast("string"), F.lit("/"))
+    files.write_sidecar(found.select("id", "title", "authors", reference.alias("reference")), "id", f"{raw}/gutenberg")
+    return rows.select("id", "title", F.when(F.col("body").isNotNull(), F.col("name")).alias("name"), F.coalesce("error", F.when(F.col("text_url").isNull(), "no plain text")).alias("error"))
+
+
+def fetch_archive(spark: SparkSession, urls: list[str], raw: str, fetcher=None, pause: float = ARCHIVE_PAUSE) -> DataFrame:
+    """Writes the files of archive items under ``raw``/loc: an item's PDF, else its first image, and its transcription; of an
+    exhibit page its text. Writes the sidecar of their metadata, which this returns; what fails leaves a stub titled by its
+    id. What was fetched is kept, as for books."""
+    downloads = Downloads(spark, f"{raw}/_downloads", fetcher, pause)
+    asked = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "place int, url string").withColumn("kind", url_type(F.col("url")))
+    text = lambda body: F.make_valid_utf8(body.cast("string"))
+    named = lambda c, end: F.concat(F.col("id"), F.lit("_"), safe_filename(or_else(F.col("title"), F.col("id")), 40), end).alias(c)
+
+    api_url = F.concat(F.rtrim("url", F.lit("/")), F.lit("/?fo=json"))
+    items = asked.filter("kind <> 'exhibits'").withColumn("api", api_url)
+    replies = items.join(downloads.get(items.select(F.col("api").alias("url"))).withColumnRenamed("url", "api"), "api")
+    parsed = api.items_of(replies.select("url", text(F.col("body")).alias("body"), "error"))
+    binary = F.coalesce("pdf_url", F.get("image_urls", F.lit(0)))
+    ending = F.when(F.col("pdf_url").isNotNull(), ".pdf").otherwise(image_extension(binary))
+    wanted = parsed.select("*", F.array(F.struct(F.lit(0).alias("n"), binary.alias("source"), named("name", ending)), F.struct(F.lit(1).alias("n"), F.col("fulltext_url").alias("source"), named("name", F.lit(".txt")))).alias("parts"))
+    parts = wanted.select("url", F.explode("parts").alias("p")).select("url", "p.*").filter(F.col("source").isNotNull())
+    got = parts.join(downloads.get(parts.select(F.col("source").alias("url"))).withColumnRenamed("url", "source"), "source").filter(F.col("body").isNotNull())
+    readable = F.encode(html.fulltext(F.col("source"), text(F.when(F.col("n") == 1, F.col("body")))), "UTF-8")
+    item_files = got.select("url", "n", "name", F.when(F.col("n") == 1, readable).otherwise(F.col("body")).alias("body")).filter(F.octet_length("body") > 0)
+
+    pages = asked.filter("kind = 'exhibits'")
+    pages = pages.join(downloads.get(pages.select("url")), "url").withColumn("id", archive_id(F.col("url"))).withColumn("p", html.page_text(text(F.col("body"))))
+    pages = pages.withColumn("title", F.when(F.col("body").isNotNull(), F.col("p.title")))
+    page_files = pages.filter(F.col("body").isNotNull()).select("url", F.lit(0).alias("n"), named("name", F.lit(".txt")), F.encode("p.content", "UTF-8").alias("body"))
+
+    # written once: names go to the sidecar, bodies to files
+    folder = new_folder(spark, "fetched")
+    item_files.unionByName(page_files).write.parquet(folder)
+    written = spark.read.parquet(folder)
+    download.write_files(written, f"{raw}/loc")
+    lists = written.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]).alias("files"))
+    null = F.lit(None).cast("string")
+    exhibits = pages.select(
+        "url", "id", or_else(F.col("title"), F.col("id")).alias("title"), F.when(F.col("body").isNotNull(), "Speech").otherwise("Document").alias("document_type"),
+        null.alias("date"), null.alias("place"), null.alias("from"), null.alias("to"),
+    )
+    meta = parsed.select("url", "id", "title", "document_type", "date", "place", "from", "to").unionByName(exhibits)
+    meta = meta.join(asked.select("url", "place", F.col("kind").alias("url_type")).withColumnRenamed("place", "_order"), "url").join(lists, "url", "left")
+    columns = ["id", F.coalesce("files", F.array().cast("array<string>")).alias("files"), "url", "url_type", "title", "document_type", "date", "place", "from", "to"]
+    sidecar = new_folder(spark, "sidecar")
+    meta.select(F.format_string("%09d", "_order").alias("_key"), *columns).write.parquet(sidecar)
+    meta = spark.read.parquet(sidecar)
+    rows = meta.select(F.col("_key").alias("key"), F.to_json(F.struct(*[c for c in meta.columns if c != "_key"]), {"ignoreNullFields": "false"}).alias("json"))
+    files.write_document([(None, rows)], f"{raw}/loc", "_metadata.json")
+    return meta.orderBy("_key").drop("_key")
+
+
 def build_dataset(spark: SparkSession, raw: str, processed: str, books: bool = True, archive: bool = True) -> None:
     """Cleans raw books and archive texts into one data set each."""
     if books:
@@ -26,7 +97,7 @@ def build_dataset(spark: SparkSession, raw: str, processed: str, books: bool = T
 
 def combine_dataset(spark: SparkSession, processed: str) -> DataFrame:
     """Both data sets, books first; a missing one has no rows."""
-    sets = [files.read_if_there(spark, f"{processed}/{name}/*.json", DOCUMENT) for name in ("books", "archive")]
+    sets = [files.read_rows(spark, f"{processed}/{name}", DOCUMENT) for name in ("books", "archive")]
     return documents.combine(*sets)
 
 

@@ -91,12 +91,16 @@ def fetch(spark: SparkSession, urls: list[str], fetcher=None, pause: float = 0.0
 def archive_items(spark: SparkSession, urls: list[str], fetcher=None, pause: float = 3.5) -> DataFrame:
     """(url, url_type, id, payload, title, document_type, date, place, from, to, files...) of archive
     items from their JSON replies; an item whose reply fails is a stub titled by its id."""
+    asked = [u.rstrip("/") + "/?fo=json" for u in urls]
+    return items_of(fetch(spark, asked, fetcher, pause).withColumn("url", F.regexp_replace("url", r"/\?fo=json\z", "")))
+
+
+def items_of(replies: DataFrame) -> DataFrame:
+    """Fields of archive items from their replies (url, body, error)."""
     from ..functions import payload
     from ..functions.links import archive_id, url_type
     from ..functions.text import or_else
 
-    asked = [u.rstrip("/") + "/?fo=json" for u in urls]
-    replies = fetch(spark, asked, fetcher, pause).withColumn("url", F.regexp_replace("url", r"/\?fo=json\z", ""))
     v = payload.parse(F.col("body"))
     rows = replies.select(F.col("url"), url_type(F.col("url")).alias("url_type"), archive_id(F.col("url")).alias("id"), v.alias("v"), "error")
     m = payload.metadata(F.col("v"))
@@ -111,12 +115,20 @@ def archive_items(spark: SparkSession, urls: list[str], fetcher=None, pause: flo
 
 def books(spark: SparkSession, ids: list[int], base: str, fetcher=None) -> DataFrame:
     """(id, title, authors, text_url) of books from one reply about all ids."""
+    return books_of(fetch(spark, [books_url(ids, base)], fetcher))
+
+
+def books_url(ids: list[int], base: str) -> str:
+    return f"{base}?ids={','.join(map(str, ids))}"
+
+
+def books_of(replies: DataFrame) -> DataFrame:
+    """Fields of books from replies (url, body, error) that list them under ``results``."""
     from ..functions import payload
 
-    url = f"{base}?ids={','.join(map(str, ids))}"
     v = payload.parse(F.col("body"))
     result = F.explode(F.try_variant_get(v, "$.results", "array<variant>")).alias("b")
-    rows = fetch(spark, [url], fetcher).filter("body IS NOT NULL").select(result)
+    rows = replies.filter("body IS NOT NULL").select(result)
     get = lambda p, t: F.try_variant_get(F.col("b"), p, t)
     formats = F.transform(F.map_entries(get("$.formats", "map<string,string>")), lambda e: F.struct(e["key"].alias("type"), e["value"].alias("url")))
     return rows.select(

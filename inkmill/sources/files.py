@@ -37,6 +37,13 @@ def read_if_there(spark: SparkSession, path: str, schema) -> DataFrame:
     return read_array(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], _schema(schema))
 
 
+def read_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``write_rows`` has written under ``path``: JSON lines; no rows where there is nothing."""
+    if not exists(spark, f"{path}/*.json"):
+        return spark.createDataFrame([], _schema(schema))
+    return spark.read.schema(_schema(schema)).json(path)
+
+
 def read_metadata(spark: SparkSession, path: str, schema) -> DataFrame:
     """A small JSON array whose file name begins with ``_``, which Spark's file sources pass over;
     no rows where there is no such file. The file is read by the driver."""
@@ -109,8 +116,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_document(sections: list[tuple[str, DataFrame | str]], path: str) -> None:
-    """One JSON object as the one file ``path/document.json``, from any number of rows.
+def write_document(sections: list[tuple[str | None, DataFrame | str]], path: str, name: str = "document.json") -> None:
+    """One JSON object as the file ``name`` under ``path``, from any number of rows. (One section without a name
+    makes the document an array.)
 
     ``sections`` are its members in order: a name with a JSON text, or with rows (key, json) that become an array in
     order of their keys. Tasks write the rows, commas included, as files that follow each other; the file system
@@ -123,8 +131,8 @@ def write_document(sections: list[tuple[str, DataFrame | str]], path: str) -> No
         if isinstance(rows, DataFrame):
             rows.select("key", "json", F.monotonically_increasing_id().alias("n")).write.parquet(f"{folder}/{i}")
     lines, fixed = [], []
-    for i, (name, value) in enumerate(sections):
-        head = ("{" if i == 0 else ",") + json.dumps(name) + ":"
+    for i, (member, value) in enumerate(sections):
+        head = "" if member is None else ("{" if i == 0 else ",") + json.dumps(member) + ":"
         if isinstance(value, str):
             fixed.append((i, 0, head + value))
             continue
@@ -135,14 +143,15 @@ def write_document(sections: list[tuple[str, DataFrame | str]], path: str) -> No
         first = rows.agg(F.min(order).alias("first"))
         text = F.concat(F.when(order == F.col("first"), "").otherwise(","), F.col("json"))
         lines.append(rows.crossJoin(F.broadcast(first)).select(F.lit(i).alias("section"), F.lit(1).alias("part"), "key", "n", text.alias("text")))
-    fixed.append((len(sections), 0, "}"))
+    if sections[0][0] is not None:
+        fixed.append((len(sections), 0, "}"))
     every = spark.createDataFrame(fixed, "section int, part int, text string").select("section", "part", F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("n"), "text")
     for rows in lines:
         every = every.unionByName(rows)
     order = ["section", "part", "key", "n"]
     # a space and not a line end between rows: the document is one line
     every.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.option("lineSep", " ").text(f"{folder}/text")
-    _join_files(spark, f"{folder}/text", f"{path}/document.json")
+    _join_files(spark, f"{folder}/text", f"{path}/{name}")
 
 
 def _join_files(spark: SparkSession, folder: str, path: str) -> None:
@@ -152,7 +161,6 @@ def _join_files(spark: SparkSession, folder: str, path: str) -> None:
     there, here = source.getFileSystem(conf), target.getFileSystem(conf)
     parts = sorted((s.getPath().toString() for s in there.listStatus(source)), key=lambda p: p.rsplit("/", 1)[-1])
     draft = hadoop.fs.Path(target.getParent(), f".{target.getName()}.draft")
-    here.delete(target.getParent(), True)
     out = here.create(draft, True)
     for p in parts:
         if "/part-" in p:
@@ -160,6 +168,7 @@ def _join_files(spark: SparkSession, folder: str, path: str) -> None:
             hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
             stream.close()
     out.close()
+    here.delete(target, False)
     here.rename(draft, target)
 
 
@@ -173,8 +182,13 @@ def write_envelopes(spark: SparkSession, loc: DataFrame, books: DataFrame, metad
 
     head = ("metadata", json.dumps(metadata))
     a, b = ("loc_extractions", documents(loc)), ("gutenberg_extractions", documents(books))
-    for name, sections in (("all", [head, a, b]), ("loc", [head, a]), ("gutenberg", [head, b])):
-        write_document(sections, f"{path}/{name}")
+    for folder, sections in (("all", [head, a, b]), ("loc", [head, a]), ("gutenberg", [head, b])):
+        write_document(sections, f"{path}/{folder}")
+
+
+def write_sidecar(rows: DataFrame, key: str, folder: str) -> None:
+    """Rows as the JSON array ``_metadata.json`` beside raw files, in order of ``key``; ``read_metadata`` reads it."""
+    write_document([(None, rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json")))], folder, "_metadata.json")
 
 
 def run_metadata(model: str, **counted: DataFrame) -> dict:
