@@ -33,6 +33,9 @@ from .common import Scratch
 #: Children of a node, rows wanted in a leaf, rows of the sample for each leaf, and most rows of it
 #: (so there are at most 12,500 leaves, and beyond 6.4 million rows leaves grow instead).
 BRANCH, LEAF_ROWS, SAMPLE_PER_LEAF, SAMPLE_MOST = 8, 512, 16, 200_000
+#: Bytes of the sample on the driver at most, in double precision, and leaves that a small table gets at least, if
+#: each has so many rows.
+SAMPLE_BYTES, LEAST_LEAVES, LEAST_ROWS = 256 << 20, 16, 16
 #: Parts of the radius that calibration tries.
 RADIUS_PARTS = (0.0, 0.25, 0.5, 1.0)
 #: Queries whose exact neighbours calibrate the visits, and the share of them to be reached.
@@ -203,7 +206,9 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, target: float
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    leaves = max(1, min(SAMPLE_MOST // SAMPLE_PER_LEAF, n // leaf_rows))
+    width = rows.select(F.size("embedding").alias("d")).first()["d"]
+    most = min(SAMPLE_MOST, SAMPLE_BYTES // (8 * width))
+    leaves = max(1, min(most // SAMPLE_PER_LEAF, max(n // leaf_rows, min(LEAST_LEAVES, n // LEAST_ROWS))))
     share = min(1.0, max(2000, leaves * SAMPLE_PER_LEAF) / n)
     vector = rows.schema["embedding"].dataType.simpleString()
     # rows with one id and vector are in the sample as often as not, so their number is bounded too

@@ -347,6 +347,14 @@ def test_ids_with_several_codes_take_one_place_each(spark):
     assert got == wanted
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_every_given_table_has_a_tree(spark, sf_dir, sf):
+    report = {}
+    vector_tree.search(spark.read.parquet(f"{sf_dir.replace('0.001', sf)}/embeddings.parquet"), report=report)
+    print(sf, report)
+    assert report["leaves"] >= 14
+
+
 @pytest.mark.parametrize("copies", [400, 800])
 def test_a_pair_of_a_crowd_comes_out_once(spark, monkeypatch, copies):
     """Copies of one text with so many words changed that each pair is about as near as the threshold."""
