@@ -50,7 +50,8 @@ def archive_documents(meta: DataFrame, texts: DataFrame) -> DataFrame:
     """
     name = lambda c: F.element_at(F.split(c, "/", -1), -1)
     file = F.get(F.filter("files", lambda f: F.endswith(f, F.lit(".txt"))), F.lit(0))
-    joined = meta.withColumn("_file", name(file)).join(texts.withColumn("_file", name(F.col("path"))), "_file")
+    # of texts with one name in several folders the first by path counts
+    joined, _ = first_match(meta.withColumn("_file", name(file)), texts.withColumn("_file", name(F.col("path"))), "_file", "path")
     h = joined.withColumn("_h", parse_header(F.col("value")))
     pick = lambda f: or_else(F.col(f"_h.{f}"), F.col(f"`{f}`"))
     return h.select(
@@ -114,7 +115,9 @@ def with_default_id(docs: DataFrame, prefix: str, order: str) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     missing = docs.filter(F.col("id").isNull())
-    ranged = missing.repartitionByRange(parts, F.col(order)).withColumn("_p", F.spark_partition_id())
+    # by the whole row, too: else rows with one value of ``order`` would be one range
+    ties = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    ranged = missing.repartitionByRange(parts, F.col(order), ties).withColumn("_p", F.spark_partition_id())
     folder = new_folder(spark, "ids")
     ranged.write.parquet(folder)
     ranged = spark.read.schema(ranged.schema).parquet(folder)

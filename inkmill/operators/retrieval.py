@@ -21,8 +21,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT = 60, 0.5, 0.5
 VECTOR_TOP, KEYWORD_TOP, FUSED_TOP, OVERFETCH = 15, 15, 5, 3
 
-#: Up to so many queries (of a few hundred terms at most, so under about 100 MB) are broadcast.
-BROADCAST_QUERIES = 10_000
+#: Up to so many query terms (rows of about 100 bytes) are broadcast.
+BROADCAST_TERMS = 500_000
 #: Scores that agree to this many places are ties, which go to smaller keys.
 PLACES = 9
 
@@ -68,9 +68,10 @@ def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = KEYWORD_TOP
     """
     extra = [only[0]] if only else []
     asked = queries.select("query_id", *[F.col(c).alias("_only") for c in extra], F.explode(tokenize(F.col("query"))).alias("term"))
-    asked = asked.groupBy("query_id", *["_only"] * bool(only), "term").agg(F.count("*").alias("qf")).join(index.terms, "term")
     # few query terms go to the postings, which then stay where they are; many are joined by a shuffle
-    asked = F.broadcast(asked) if queries.count() <= BROADCAST_QUERIES else asked
+    few = asked.count() <= BROADCAST_TERMS
+    asked = asked.groupBy("query_id", *["_only"] * bool(only), "term").agg(F.count("*").alias("qf")).join(index.terms, "term")
+    asked = F.broadcast(asked) if few else asked
     hits = index.postings.join(asked, "term").crossJoin(F.broadcast(index.average_length))
     if only:
         hits = hits.filter(F.col(only[1]) == F.col("_only"))

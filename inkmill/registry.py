@@ -671,6 +671,87 @@ def vector_index(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT 'doc_' || doc_id AS id, CASE WHEN lang = 'fr' THEN 'Unknown' ELSE 'Title ' || doc_id END AS title,
+  CASE WHEN n_chars > 4000 THEN 'Book' WHEN lang = 'de' THEN 'Speech' ELSE 'Letter' END AS document_type,
+  CASE WHEN source <> 'web' THEN source WHEN n_chars > 4000 THEN 'Unknown Author' ELSE 'Abraham Lincoln' END AS author, length(text) AS chars
+FROM documents"""
+)
+def hybrid_defaults(spark, sf_dir):
+    """Documents of which some lack a title, a type or a sender, with what the retrieval job takes instead."""
+    kind = F.when(F.col("n_chars") > 4000, "Book").when(F.col("lang") == "de", "Speech")
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc_"), "doc_id").alias("id"), F.when(F.col("lang") != "fr", F.concat(F.lit("Title "), "doc_id")).alias("title"), kind.alias("document_type"),
+        F.when(F.col("source") != "web", F.col("source")).alias("from"), F.col("text").alias("content"),
+    )
+    return documents.for_hybrid(docs).select("id", "title", "document_type", "author", F.length("content").cast("long").alias("chars"))
+
+
+#: Replies about pages: their fields are strings, lists or missing, by the page's number.
+_ITEM = """
+SELECT page_id, to_json(named_struct(
+  'item', named_struct(
+    'title', CASE page_id % 3 WHEN 0 THEN concat('Abraham Lincoln to Clerk ', page_id, ', at ', url) WHEN 1 THEN concat('Inaugural of ', url) ELSE concat('Page ', page_id) END,
+    'type', if(page_id % 4 = 0, 'Letter', null), 'original_format', if(page_id % 4 = 1, array('Manuscript', 'Print'), null),
+    'contributor_names', array(concat('Name ', page_id % 7), 'Other')),
+  'resources', array(
+    named_struct('pdf', if(page_id % 5 = 0, concat(url, '.pdf'), null), 'fulltext_file', if(page_id % 2 = 0, concat(url, '.xml'), null),
+      'files', array(array(named_struct('url', concat(url, '/a.jpg'), 'mimetype', 'x'), named_struct('url', concat(url, '/b'), 'mimetype', 'image/tiff'), named_struct('url', concat(url, '/C.PDF'), 'mimetype', 'y')))))
+)) AS body FROM {pages}
+"""
+
+
+@query(
+    """WITH p AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'Abraham Lincoln to Clerk ' || page_id || ', at ' || url WHEN 1 THEN 'Inaugural of ' || url ELSE 'Page ' || page_id END AS title FROM pages)
+SELECT page_id, title, CASE WHEN page_id % 4 = 0 THEN 'Letter' WHEN page_id % 4 = 1 THEN 'Manuscript'
+    WHEN contains(lower(title), 'letter') THEN 'Letter' WHEN contains(lower(title), 'speech') OR contains(lower(title), 'address') OR contains(lower(title), 'inaugural') THEN 'Speech' ELSE 'Document' END AS document_type,
+  CASE WHEN page_id % 3 = 0 THEN 'Abraham Lincoln' ELSE 'Name ' || (page_id % 7) END AS sender,
+  CASE WHEN page_id % 3 = 0 THEN 'Clerk ' || page_id END AS recipient,
+  CASE WHEN page_id % 5 = 0 THEN url || '.pdf' ELSE url || '/C.PDF' END AS pdf_url, url || '/a.jpg|' || url || '/b' AS image_urls,
+  CASE WHEN page_id % 2 = 0 THEN url || '.xml' END AS fulltext_url
+FROM p"""
+)
+def payload_fields(spark, sf_dir):
+    """Fields of archive replies, made of pages: values that are strings, lists or missing."""
+    from .functions import payload
+
+    rows = spark.sql(_ITEM, pages=table(spark, sf_dir, "pages")).withColumn("v", payload.parse(F.col("body")))
+    v, m = F.col("v"), payload.metadata(F.col("v"))
+    return rows.select(
+        "page_id", m["title"].alias("title"), payload.document_type(v).alias("document_type"), m["from"].alias("sender"), m["to"].alias("recipient"),
+        payload.pdf_url(v).alias("pdf_url"), F.array_join(payload.image_urls(v), "|").alias("image_urls"), payload.fulltext_url(v).alias("fulltext_url"),
+    )
+
+
+@query(
+    """WITH d AS (SELECT lang, length(text)::BIGINT AS reply, sha256(text) AS h FROM documents)
+SELECT lang, count(*) AS documents, count(DISTINCT h) AS prompts, sum(reply)::BIGINT AS chars, 0::BIGINT AS asked_again FROM d GROUP BY lang"""
+)
+def reply_ledger(spark, sf_dir):
+    """Every document's text asked once, by way of a ledger: those of one source first, then all, then all again."""
+    from .shared import new_folder
+    from .sources.ledger import ReplyLedger
+
+    ledger = ReplyLedger(spark, new_folder(spark, "ledger"), wave=100_000)
+    ask = ledger.completer(_Length(), "length")
+    rows = table(spark, sf_dir, "documents").select("lang", "source", F.coalesce("text", F.lit("")).alias("prompt"))
+    ask(rows.filter("source = 'web'"))
+    replied = ask(rows)
+    paid = ledger.table.read().count()
+    ask(rows)
+    again = ledger.table.read().count() - paid
+    return replied.groupBy("lang").agg(
+        F.count("*").alias("documents"), F.count_distinct("prompt").alias("prompts"), F.sum(F.col("reply").cast("long")).alias("chars"), F.lit(again).cast("long").alias("asked_again")
+    )
+
+
+class _Length:
+    """A model that replies with the length of its prompt."""
+
+    def complete(self, prompt, temperature=None):
+        return str(len(prompt))
+
+
 @query("SELECT count(DISTINCT p_type)::BIGINT AS events, count(*)::BIGINT AS pairs FROM part")
 def pair_events(spark, sf_dir):
     """Distinct events among pairs, with parts for pairs."""

@@ -60,9 +60,10 @@ def read_metadata(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str, schema, without: Iterable[str] = ()) -> DataFrame:
-    """One-record JSON files of a folder with their ``file_name``; named files are left out."""
+    """One-record JSON files of a folder with their ``file_name``, in order of it; named files are left out."""
     rows = spark.read.schema(_schema(schema)).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    return rows.withColumn("file_name", F.col("_metadata.file_name")).filter(~F.col("file_name").isin(*without) if (without := list(without)) else F.lit(True))
+    named = rows.withColumn("file_name", F.col("_metadata.file_name"))
+    return named.filter(~F.col("file_name").isin(*without) if (without := list(without)) else F.lit(True)).orderBy("file_name")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
