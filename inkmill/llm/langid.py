@@ -6,10 +6,11 @@ over vectors of labelled texts. A text takes the language of the most similar ce
 It is rejected if it is further from every centroid than labelled texts of like length are from
 their own.
 
-Document frequencies come from all labelled texts; centroids from at most ``per_language`` labelled
-rows of each language, chosen by a hash of the row (so an id with many rows is no different), for
-the ``most_languages`` most frequent labels; rejection distances from labelled rows drawn by length,
-and from excerpts of them for lengths that hardly any labelled text has.
+Document frequencies, centroids and rejection distances come from all labelled texts (of the
+``most_languages`` most frequent labels). Only the places where centroids start are found on at most
+``per_language`` rows of each language, chosen by a hash of the row (so an id with many rows is no
+different); passes over all labelled texts then move them to the means of theirs. Rejection distances
+are counted over all of them by length, and over excerpts of all where hardly any has a length.
 
 Defined cases: null texts, empty texts and texts without a letter get ``und``, score 0, and are
 rejected; rows with a null label or text are not learned from, nor are those with a null id; equal
@@ -21,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import functools
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,15 +36,16 @@ from pyspark.sql.window import Window
 from .common import Scratch, release, set_aside, small_batches
 
 BITS = 14
-#: Labelled texts of each language from which centroids are found, and centroids of each.
-PER_LANGUAGE, CLUSTERS = 1000, 4
+#: Labelled texts of each language on which centroids start, centroids of each, and passes over all labelled texts.
+PER_LANGUAGE, CLUSTERS, ROUNDS = 1000, 4, 2
+#: Buckets of a piece of a vector, by which vectors of tasks are added up.
+PIECE = 1024
 #: Labels that are learned, the most frequent first: the model has ``CLUSTERS`` vectors for each.
 MOST_LANGUAGES = 200
 #: A text is rejected below this part of the similarity that 1 of 100 labelled texts of its length falls below.
 REJECT_BELOW = 0.6
-#: Labelled texts drawn of each power of two of characters, excerpts of each of the first so many,
-#: and texts a length needs for its floor to do without excerpts.
-PER_LENGTH, EXCERPTS_OF, ENOUGH = 600, 100, 20
+#: Texts a length needs for its floor to do without excerpts, and steps in which similarities are counted.
+ENOUGH, STEPS = 20, 10_000
 UNKNOWN = "und"
 
 
@@ -150,6 +153,8 @@ def fit(
             df[r["b"]] = r["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
+    # texts without a letter have no vector
+    known = known.filter(F.col(text).rlike(r"\p{L}"))
     labels = known.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(most_languages)
     counts = {r[label]: r["n"] for r in labels.collect()}
     languages = sorted(counts)
@@ -164,7 +169,7 @@ def fit(
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = scratch.keep(some.withColumn("place", place).filter(F.col("place") <= per_language).drop("place"), "sample")
 
-    def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "text"])
         x = gram_counts(pdf["text"].tolist(), bits)
         grams = x.sum(1)
@@ -177,59 +182,111 @@ def fit(
         release()
         return pd.DataFrame({"lang": lang, "vector": list(centers)})
 
-    rows = sample.groupBy("lang").applyInPandas(centroids, "lang string, vector array<float>").collect()
+    rows = sample.groupBy("lang").applyInPandas(starts, "lang string, vector array<float>").collect()
     vectors = sorted(((r["lang"], tuple(r["vector"])) for r in rows))
     owner = np.array([languages.index(v[0]) for v in vectors], int)
-    weights = (np.array([v[1] for v in vectors], np.float32).reshape(-1, size) * idf).T
-    model = LanguageModel(bits, languages, owner, idf, np.ascontiguousarray(weights), np.zeros(64))
+    centers = np.array([v[1] for v in vectors], np.float32).reshape(-1, size)
     scratch.drop(sample)
+    for _ in range(ROUNDS):
+        centers = moved(known, LanguageModel(bits, languages, owner, idf, np.ascontiguousarray((centers * idf).T), np.zeros(64)), centers, label, text)
+    model = LanguageModel(bits, languages, owner, idf, np.ascontiguousarray((centers * idf).T), np.zeros(64))
     model.floors = length_floors(known, model, label, text)
     return model
 
 
+def moved(known: DataFrame, model: LanguageModel, centers: np.ndarray, label: str, text: str, batch_rows: int = 64) -> np.ndarray:
+    """The centroids, each at the mean of the texts of its language that are nearest to it. All texts
+    count; a task adds up its own, and their sums are added by pieces of vectors."""
+    size = 1 << model.bits
+    piece = min(PIECE, size)
+    shared = known.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        number = {x: i for i, x in enumerate(m.languages)}
+        sums = np.zeros((len(m.owner), size))
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch_rows):
+                batch = whole.slice(start, batch_rows)
+                x = gram_counts(batch.column(1).to_pylist(), m.bits)
+                own = np.array([number[k] for k in batch.column(0).to_pylist()], int)
+                some = (x.sum(1) > 0) & np.isin(own, m.owner)
+                x, own = x[some], own[some]
+                if len(x):
+                    sims = np.where(m.owner == own[:, None], x @ m.weights, -np.inf)
+                    x *= m.idf
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    nearest = np.zeros((len(m.owner), len(x)), np.float32)
+                    nearest[sims.argmax(1), np.arange(len(x))] = 1
+                    sums += nearest @ x
+            release()
+        for i in np.flatnonzero(sums.any(1)).tolist():
+            at = np.arange(0, size, piece)
+            columns = [pa.array(np.full(len(at), i, np.int32)), pa.array((at // piece).astype(np.int32)), pa.array(list(sums[i].reshape(-1, piece)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["c", "p", "v"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": pdf["c"].iloc[:1], "p": pdf["p"].iloc[:1], "v": [sum(pdf["v"])]})
+
+    schema = "c int, p int, v array<double>"
+    total = np.zeros(centers.shape)
+    for r in known.select(F.col(label).cast("string"), text).mapInArrow(run, schema).groupBy("c", "p").applyInPandas(added, schema).collect():
+        total[r["c"], r["p"] * piece : (r["p"] + 1) * piece] = r["v"]
+    norms = np.linalg.norm(total, axis=1, keepdims=True)
+    return np.where(norms > 0, total / np.maximum(norms, 1e-12), centers).astype(np.float32)
+
+
 def excerpts(text: str, at: int) -> list[str]:
     """Pieces of a text from its word number ``at`` (counted on from the first again), with about
     4, 8, 16 ... 2048 grams, as far as the text reaches."""
-    starts = [i for i in range(len(text)) if not text[i].isspace() and (i == 0 or text[i - 1].isspace())]
+    starts = [w.start() for w in re.finditer(r"\S+", text)]
     start = starts[at % len(starts)] if starts else 0
     return [text[start : start + n] for n in (2**b // 2 for b in range(1, 12)) if start + n <= len(text)]
 
 
 def length_floors(known: DataFrame, model: LanguageModel, label: str, text: str) -> np.ndarray:
-    """The least similarity by log2 of the number of grams: of labelled texts drawn by length, and
-    of excerpts too where a length has few texts. No shorter length has a higher one."""
-    length = F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))).cast("int")
-    sizes = {r["c"]: r["n"] for r in known.groupBy(length.alias("c")).agg(F.count("*").alias("n")).collect()}
-    hashed = F.pmod(_row_hash(text, 1), F.lit(1 << 30)) / (1 << 30)
-    part = lambda n: F.create_map(*[x for c, v in sizes.items() for x in (F.lit(c), F.lit(min(1.0, n / v)))])[length]
-    drawn = known.withColumn("_h", hashed).filter(F.col("_h") < part(PER_LENGTH)).select(
-        F.col(label).alias("lang"), F.col(text).alias("text"), (F.col("_h") < part(EXCERPTS_OF)).alias("cut"), F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 20)).alias("at")
-    )
+    """The least similarity by log2 of the number of grams, that 1 of 100 labelled texts falls below;
+    of excerpts of all of them where a length has few texts. No shorter length has a higher one.
+
+    Similarities are counted in ``STEPS`` steps, so the driver gets a bounded number of counts.
+    """
     shared = known.sparkSession.sparkContext.broadcast(model)
+    rows = known.select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 20)).alias("at"))
+
+    def counted(cut: bool, told: frozenset) -> dict[int, tuple[int, float]]:
+        """(texts, similarity that 1 of 100 falls below) of each length that is not ``told``."""
+
+        def run(batches):
+            m = shared.value
+            own = {x: np.ascontiguousarray(m.weights[:, m.owner == i]) for i, x in enumerate(m.languages)}
+            square = m.idf**2
+            seen = np.zeros(64 * (STEPS + 1), np.int64)
+            for batch in batches:
+                for lang, t, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    for one in excerpts(t, at) if cut else (t,):
+                        buckets = gram_buckets(one, m.bits)
+                        b = len(buckets).bit_length() - 1
+                        if b < 0 or b in told or not own[lang].shape[1]:
+                            continue
+                        u, c = np.unique(buckets, return_counts=True)
+                        c = c.astype(np.float32)
+                        sim = (c @ own[lang][u]).max() / np.sqrt((c * c) @ square[u])
+                        seen[b * (STEPS + 1) + int(min(max(float(sim), 0.0), 1.0) * STEPS)] += 1
+                release()
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at // (STEPS + 1)), pa.array(at % (STEPS + 1)), pa.array(seen[at])], names=["b", "step", "n"])
 
-    def run(batches):
-        m = shared.value
-        own = {x: m.weights[:, m.owner == i] for i, x in enumerate(m.languages)}
-        for batch in batches:
-            for r in batch.to_pylist():
-                texts = [r["text"], *(excerpts(r["text"], r["at"]) if r["cut"] else [])]
-                x = gram_counts(texts, m.bits)
-                grams = x.sum(1)
-                some = (grams > 0) & (own[r["lang"]].shape[1] > 0)
-                if some.any():
-                    sims = (x[some] @ own[r["lang"]]).max(1) / np.sqrt(((x[some] * m.idf) ** 2).sum(1))
-                    columns = [np.log2(grams[some]).astype(np.int32), (np.arange(len(texts)) == 0)[some], sims.astype(float)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["b", "whole", "sim"])
-            release()
+        found = rows.mapInArrow(run, "b long, step long, n long").groupBy("b", "step").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("b").orderBy("step"))
+        found = found.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy("b")))
+        low = found.groupBy("b").agg(F.first("all").alias("n"), F.min(F.when(F.col("upto") * 100 >= F.col("all"), F.col("step"))).alias("step"))
+        return {r["b"]: (r["n"], r["step"] / STEPS) for r in low.collect()}
 
-    sim = F.when(F.col("whole"), F.col("sim"))
-    low = drawn.mapInArrow(run, "b int, whole boolean, sim double").groupBy("b").agg(
-        F.count(sim).alias("n"), F.percentile(sim, F.lit(0.01)).alias("own"), F.count("*").alias("n_all"), F.percentile("sim", F.lit(0.01)).alias("all")
-    )
-    found = {r["b"]: r["own"] if r["n"] >= ENOUGH else r["all"] for r in low.collect() if r["n_all"] >= ENOUGH}
+    whole = {b: x for b, x in counted(False, frozenset()).items() if x[0] >= ENOUGH}
+    found = whole | {b: x for b, x in counted(True, frozenset(whole)).items() if x[0] >= ENOUGH}
     floors, last = np.zeros(64), 0.0
     for b in range(64):
-        last = max(last, REJECT_BELOW * found.get(b, 0.0))
+        last = max(last, REJECT_BELOW * (found[b][1] if b in found else 0.0))
         floors[b] = last
     return floors
 

@@ -252,6 +252,27 @@ def test_one_id_with_all_rows_of_a_language(spark):
     assert {x.doc_id: x.lang_pred for x in got.collect()} == {1: "aa", 2: "bb"}
 
 
+def test_centroids_and_floors_come_from_all_labelled_texts(spark):
+    """Far more texts than centroids start on, against plain sums and plain percentiles."""
+    r = random.Random(5)
+    words = {k: ["".join(r.choice(a) for _ in range(r.randint(2, 8))) for _ in range(300)] for k, a in (("aa", "abcdefgh"), ("bb", "ghijklmnop"))}
+    texts = [(i, " ".join(r.choice(words[k]) for _ in range(r.randint(30, 50))), k) for i in range(900) for k in words]
+    model = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(5), F.lit(True), per_language=10, clusters=1)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(langid.gram_counts([t for _, t, _ in texts]).astype(float) * model.idf)
+    own = np.array([model.languages.index(k) for *_, k in texts])
+    sums = unit(np.array([x[own == i].sum(0) for i in range(2)]))
+    assert np.allclose(model.weights.T / model.idf, sums[model.owner], atol=1e-5)
+    length = np.log2(langid.gram_counts([t for _, t, _ in texts]).sum(1)).astype(int)
+    sims, last = (x * sums[own]).sum(1), 0.0
+    for b in sorted(set(length.tolist())):
+        of = np.sort(sims[length == b])
+        if len(of) >= langid.ENOUGH:
+            assert model.floors[b] == pytest.approx(langid.REJECT_BELOW * of[-(-len(of) // 100) - 1], abs=2e-4) or model.floors[b] == model.floors[b - 1]
+            last = b
+    assert last and model.floors[last] > 0
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     """Whole runs over an empty table, and over nulls and columns whose names operators use."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, _row long, component_id string, whole int, tokens string"
