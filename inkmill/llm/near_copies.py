@@ -13,6 +13,10 @@ A bitmap has at least as many bits as its set has members, so that hardly a pair
 through; the larger of two is folded to the smaller one's length. All others are compared by the
 sets themselves. Only what passes is a link, and groups are the components of links.
 
+``simhashed`` comes first where a caller wants its method: each set has a SimHash fingerprint too, sets whose
+fingerprints are linked are compared by the sets themselves, and pairs that this joins do not meet again. The
+prefix filter then covers what fingerprints leave apart, so that the groups are exact.
+
 As in ``simhash``, pairs within a key's group are not enumerated: every member is compared with
 one leader first, then, in a few turns, those outside the group's largest component with one member of
 it a key, and only what is still outside meets the rest in full, across components, at the first key
@@ -44,6 +48,8 @@ SAMPLE, FREQUENT, MOST = 10_000, 3, 50_000
 EARLIER = 64
 #: Turns in which components are joined by single links before the rest meets in full.
 TURNS = 3
+#: Bits of a fingerprint in which linked ones differ at most, as in operator 3.
+DISTANCE = 3
 #: Up to so many rows of two numbers are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -103,12 +109,14 @@ def frequent_shingles(docs: DataFrame, id_col: str, width: int) -> tuple[np.ndar
 
 
 def _sketches(docs: DataFrame, id_col: str, carry: list[str], width: int, similarity: float) -> DataFrame:
-    """(id, ``carry``, digest of the set, n shingles, fold, bitmap, keys) of every text; ``bitmap`` is
-    null where it is no longer than ``fold``."""
+    """(id, ``carry``, digest of the set, n shingles, fold, bitmap, keys, fp) of every text; ``bitmap`` is
+    null where it is no longer than ``fold``, and ``fp`` is the set's SimHash fingerprint."""
+    from .simhash import fingerprint_bits, pack
+
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, id_col, width))
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in (id_col, *carry)])
-    schema = schema.add("digest", "binary").add("size", T.IntegerType()).add("fold", longs).add("bitmap", longs).add("keys", longs)
+    schema = schema.add("digest", "binary").add("size", T.IntegerType()).add("fold", longs).add("bitmap", longs).add("keys", longs).add("fp", T.LongType())
 
     def run(batches):
         import xxhash
@@ -117,7 +125,7 @@ def _sketches(docs: DataFrame, id_col: str, carry: list[str], width: int, simila
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                digests, sizes, folds, maps, keys = [], [], [], [], []
+                digests, sizes, folds, maps, keys, prints = [], [], [], [], [], []
                 for t in batch.column("text").to_pylist():
                     h = shingle_set(t, width)
                     often = np.zeros(len(h), np.int64)
@@ -131,7 +139,8 @@ def _sketches(docs: DataFrame, id_col: str, carry: list[str], width: int, simila
                     maps.append(bitmap.tolist() if len(bitmap) > WORDS else None)
                     # the sort is stable and the hashes ascend: rare ones first, equal ones by hash
                     keys.append(h[np.argsort(often, kind="stable")[: prefix_length(len(h), similarity)]].view(np.int64))
-                columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), _lists(folds), pa.array(maps, pa.list_(pa.int64())), _lists(keys)]
+                    prints.append(int(pack(fingerprint_bits(h))[0]))
+                columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), _lists(folds), pa.array(maps, pa.list_(pa.int64())), _lists(keys), pa.array(prints, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, *carry)), *columns], names=schema.fieldNames())
             release()
 
@@ -198,6 +207,21 @@ def _verified(scratch: Scratch, pairs: DataFrame, distinct: DataFrame, docs: Dat
     return out
 
 
+def simhashed(scratch: Scratch, distinct: DataFrame, docs: DataFrame, id_col: str, width: int, similarity: float) -> DataFrame:
+    """(a, b): links that SimHash finds. Fingerprints are grouped as in operator 3 (tables of blocks, ``DISTANCE`` bits),
+    and each member's set is compared with that of its group's first one."""
+    from .simhash import block_tables, near_groups
+
+    def key(table: np.ndarray) -> Column:
+        """The bits of a table's blocks, in their places: one number for equal bits."""
+        return F.col("fp").bitwiseAND(F.lit(int(np.bitwise_or.reduce(np.uint64(1) << table.astype(np.uint64)).view(np.int64))))
+
+    prints = distinct.select(F.col("u").alias("id"), F.array("fp").alias("fp"), F.array(*map(key, block_tables(64, DISTANCE, 2))).alias("keys"))
+    found = near_groups(prints, 1, DISTANCE).filter("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
+    pairs = scratch.keep(_possible(found, distinct.select("u", "size", "fold", "bitmap"), similarity), "simhash")
+    return _verified(scratch, pairs, distinct, docs, id_col, width, similarity)
+
+
 def _meetings(scratch: Scratch, members: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of ``members`` (key, main, u, pos, label) of one key but of different labels, one of them not the
     key's main one, that sizes, places and folded bitmaps (``of``: u, size, fold) do not show to be too far apart.
@@ -258,7 +282,7 @@ def nodes(scratch: Scratch, docs: DataFrame, id_col: str, carry: list[str], rank
     small_batches(docs.sparkSession)
     prints = scratch.keep(_sketches(docs, id_col, carry, width, similarity), "prints")
     # one row for each distinct set, numbered once and for all by being written
-    fields = [id_col, *carry, "size", "fold", "bitmap", "keys"]
+    fields = [id_col, *carry, "size", "fold", "bitmap", "keys", "fp"]
     one = prints.groupBy("digest").agg(F.min_by(F.struct(*fields), rank).alias("s"))
     distinct = scratch.keep(one.select("digest", "s.*", F.monotonically_increasing_id().alias("u")), "distinct")
     # a key among the first ones of the smaller set is the only kind that a pair needs
@@ -278,9 +302,13 @@ def nodes(scratch: Scratch, docs: DataFrame, id_col: str, carry: list[str], rank
         .unionByName(large.filter("u <> leader").select(F.col("leader").alias("a"), F.col("u").alias("b")))
         .distinct()
     )
-    pairs = scratch.keep(_possible(stars, of, similarity), "pairs")
+    met = simhashed(scratch, distinct, docs, id_col, width, similarity)
+    known = scratch.keep(connected_components(scratch, met), "known")
+    of_known = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"l{x}"))
+    apart = stars.join(of_known("a"), "a", "left").join(of_known("b"), "b", "left").filter(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False)))
+    pairs = scratch.keep(_possible(apart.select("a", "b"), of, similarity), "pairs")
     likeliest = scratch.keep(pairs.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")), "likeliest")
-    links = _verified(scratch, likeliest, distinct, docs, id_col, width, similarity)
+    links = met.unionByName(_verified(scratch, likeliest, distinct, docs, id_col, width, similarity))
     first = scratch.keep(connected_components(scratch, links), "first")
 
     # components of one crowd that chance has left apart are joined by single links, in turns
@@ -304,8 +332,7 @@ def nodes(scratch: Scratch, docs: DataFrame, id_col: str, carry: list[str], rank
         .filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     )
     labelled, members = _labelled(scratch, large, label)
-    met = _meetings(scratch, members.drop("mains"), of.drop("bitmap"), similarity)
-    crossing = met.distinct()
+    crossing = _meetings(scratch, members.drop("mains"), of.drop("bitmap"), similarity).distinct()
     crossing = scratch.keep(_possible(crossing, of, similarity).select("a", "b").unionByName(other), "crossing")
     more = _verified(scratch, crossing, distinct, docs, id_col, width, similarity)
     if not more.isEmpty():

@@ -3,8 +3,8 @@
 Each text becomes one fingerprint; documents with equal fingerprints are one row from then on.
 Tables of keys are built from blocks of fingerprint bits so that close pairs share a key in some
 table: for at most d differing bits, the bits are split into d + k blocks and each choice of k
-blocks is a table, of which one is untouched (exact). ``keep_one``, which goes by a similarity of
-word runs instead, takes its groups from ``near_copies``.
+blocks is a table, of which one is untouched (exact). ``keep_one`` goes by a similarity of word runs: links of
+fingerprints come first, an exact check of the sets follows, and ``near_copies`` covers what is left apart.
 
 Pairs within a key's group are not enumerated. First every member is compared with one leader of
 the group (its most copied fingerprint) and verified links are joined into components. Then only

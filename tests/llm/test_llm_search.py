@@ -393,3 +393,29 @@ def test_a_pair_of_a_crowd_comes_out_once(spark, monkeypatch, copies):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert got == {i: find(i) for i in texts}
+
+
+def test_near_copies_are_found_by_fingerprints_first(spark, tmp_path, monkeypatch):
+    """Groups of near copies come from fingerprints within 3 bits, checked by the sets; the rest of them follows."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(12):
+        base = [r.choice(words) for _ in range(400)]
+        rows.append((3 * i, " ".join(base)))
+        rows.append((3 * i + 1, " ".join([*base, "end"])))  # hardly a bit of the fingerprint changes
+        rows.append((3 * i + 2, " ".join([*base[:360], *(r.choice(words) for _ in range(36))])))  # about 0.83
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    found, links = near_copies.simhashed, []
+
+    def seen(*args):
+        out = found(*args)
+        links.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(near_copies, "simhashed", seen)
+    kept = sorted(x.doc_id for x in simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert kept == [3 * i for i in range(12)]
+    prints = [simhash.pack(simhash.fingerprint_bits(near_copies.shingle_set(t, 5))).view(np.uint64) for _, t in rows]
+    close = sum(np.bitwise_count(prints[3 * i] ^ prints[3 * i + 1])[0] <= near_copies.DISTANCE for i in range(12))
+    assert len(links) >= close >= 6
