@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import new_folder
+from ..shared import BATCH_BYTES, new_folder, release, small_batches  # noqa: F401
 
 _OPEN: list[Scratch] = []
 
@@ -74,40 +74,6 @@ def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list]:
     return docs.select(*used, packed.alias("_others")), back
 
 
-#: Bytes of one Arrow batch on its way to a Python worker.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes for plans of this session that run from now on.
-
-    Spark's own bound for a batch is 10,000 rows, and a far larger number of bytes: two tasks of an
-    executor would hold it several times over, in the JVM and in their workers. A smaller bound that
-    the session has already stays.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
-    if not 0 < size <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
-def release() -> None:
-    """Gives memory that a Python worker no longer uses back to the system.
-
-    Workers outlive their tasks, and both Arrow's pool and the C library keep freed memory, which
-    would add up over the stages of a job to more than any one of them needs.
-    """
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
-
-
 #: A-Z to a-z only; ``lower`` would also change other alphabets.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

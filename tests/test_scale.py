@@ -4,6 +4,7 @@ import datetime
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,19 @@ def test_a_key_is_kept_once_over_batches(spark, tmp_path):
         ingest.extract_incrementally(stream, lambda b: b, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     got = spark.read.schema(schema).parquet(str(tmp_path / "out/batch=*"))
     assert sorted(r.v for r in got.collect()) == [1, 2, 4, 6]
+
+
+def test_python_steps_get_batches_bounded_in_bytes(spark, sf_dir):
+    """Batches of registered queries' Python steps: 4 MB of 20 MB of texts, not 10 000 rows of any length."""
+    from inkmill.functions import html
+
+    @F.pandas_udf("long")
+    def rows(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    out = registry.QUERIES["html_extract"](spark, sf_dir)
+    assert out.filter("content IS NOT NULL").count() > 0
+    long = spark.range(200, numPartitions=1).select(F.concat(F.lit("<p>a &amp; "), F.repeat(F.lit("b"), 100_000)).alias("t"))
+    assert long.agg(F.max(rows("t"))).first()[0] <= 60
+    assert long.filter(F.length(html.xml_text(F.col("t"))) == 100_004).count() == 200
