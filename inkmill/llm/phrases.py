@@ -37,8 +37,10 @@ LONGEST = 4
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO_END = bytes.maketrans(_ENDS, b"\x00" * len(_ENDS))
 #: Entries of a container before it bursts; windows a task holds before it spills; tokens worked on at once.
-BURST, HELD, TOKENS = 4096, 1 << 20, 1 << 18
-#: Bits of a word's number. Numbers are given anew when half of them are used up.
+BURST, HELD, TOKENS = 4096, 1 << 19, 1 << 18
+#: Words a task numbers before it spills all and begins anew, windows that are sorted at once, pairs that are counted at once.
+WORDS, SORTED, PAIRS = 1 << 18, 1 << 17, 1 << 22
+#: Bits of a word's number.
 BITS = 21
 MASK = (1 << BITS) - 1
 #: Windows of a range.
@@ -215,7 +217,7 @@ class _Reader:
         return ids, lang
 
     def full(self) -> bool:
-        return len(self.numbers) > MASK // 2 or len(self.langs) > MASK
+        return len(self.numbers) > WORDS or len(self.langs) > MASK
 
     def forget(self) -> None:
         self.numbers, self.langs, self._hashes = _Numbers(), {}, np.zeros(1, np.uint64)
@@ -251,7 +253,7 @@ def pair_counts(docs: DataFrame) -> DataFrame:
                 for part in reader.add(lang, text) if text else ():
                     held.append(hashes(*part))
                     n += len(held[-1])
-                    if n >= 4 * HELD:
+                    if n >= PAIRS:
                         yield from counted()
                         held, n = [], 0
                     if reader.full():
@@ -298,8 +300,8 @@ class _Counter:
         if not len(first):
             return
         words, langs = self.reader.numbers.words(), pa.array(list(self.reader.langs), pa.string())
-        for start in range(0, len(first), 1 << 19):
-            a, s, c = first[start : start + (1 << 19)], rest[start : start + (1 << 19)], counts[start : start + (1 << 19)]
+        for start in range(0, len(first), SORTED):
+            a, s, c = first[start : start + SORTED], rest[start : start + SORTED], counts[start : start + SORTED]
             column = lambda x: words.take(pa.array(x, mask=x == 0))
             parts = [langs.take(pa.array(a >> BITS)), column(a & MASK)] + [column(s >> BITS * d & MASK) for d in range(LONGEST - 2, -1, -1)]
             key = pc.binary_join_element_wise(*parts, _END, null_handling="skip")

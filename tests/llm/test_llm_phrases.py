@@ -104,3 +104,12 @@ def test_long_texts_come_in_parts(monkeypatch):
         parts = list(phrases._slices(text))
         assert [t for tokens, n in parts for t in tokens[:n]] == phrases._tokens(text)
         assert all(len(t) - n == phrases.LONGEST - 1 for t, n in parts[:-1])
+
+
+def test_a_task_numbers_a_bounded_number_of_words():
+    """Far fewer than fit the bits of a number: the words of a task are kept in memory."""
+    reader = phrases._Reader()
+    list(reader.add("en", " ".join(f"w{i}" for i in range(300_000))))
+    assert reader.full() and phrases.HELD <= 1 << 19
+    reader.forget()
+    assert not reader.full()
