@@ -50,3 +50,14 @@ def test_small_and_odd_sets(spark, tmp_path):
     key = lambda rows: sorted((str(r.query_id), str(r.id), r["rank"], round(r.score, 9)) for r in rows.collect())
     for only in (None, ("want", "tag")):
         assert key(index.search(asked, 3, only).hits) == key(retrieval.keyword_search(plain, asked, 3, only))
+
+
+def test_merging_with_an_empty_segment_writes_nothing(spark, tmp_path):
+    index = SegmentedIndex(spark, str(tmp_path / "i"), "id long")
+    docs = spark.createDataFrame([(i, f"a b w{i}") for i in range(20)], "id long, text string")
+    assert index.append(docs.limit(0), batch="none") == 0 and index.append(docs, batch="all") == 20
+    before = {p["folder"] for p in index.table.snapshot().parts}
+    assert index.compact() == 2
+    (part,) = index.table.snapshot().parts
+    assert part["folder"] in before and part["units"] == 20 and sorted(part["batches"]) == ["all", "none"]
+    assert index.append(docs, batch="none") == index.append(docs, batch="all") == 0
