@@ -61,3 +61,20 @@ def test_merging_with_an_empty_segment_writes_nothing(spark, tmp_path):
     (part,) = index.table.snapshot().parts
     assert part["folder"] in before and part["units"] == 20 and sorted(part["batches"]) == ["all", "none"]
     assert index.append(docs, batch="none") == index.append(docs, batch="all") == 0
+
+
+def test_blocks_of_a_frequent_word_are_few(spark, tmp_path):
+    """Blocks grow with buckets of a thousand units, not with postings; merged ones are no smaller and find the same."""
+    index = SegmentedIndex(spark, str(tmp_path / "i"), "id long, tag string")
+    docs = spark.range(4000).selectExpr("id", "if(id % 3 = 0, 'x', 'y') AS tag", "concat('the word ', id % 700, if(id % 5 = 0, ' of of', ' no no')) AS text")
+    asked = spark.createDataFrame([(1, "the 7 of", "x"), (2, "699 no", "y")], "query_id long, query string, want string")
+    plain = retrieval.keyword_index(docs, ("id", "tag"))
+    key = lambda rows: sorted((r.query_id, r.id, r.tag, r["rank"], round(r.score, 9)) for r in rows.collect())
+    want = key(retrieval.keyword_search(plain, asked, 5, ("want", "tag")))
+    for lo in (0, 2000):
+        index.append(docs.filter(f"id >= {lo} AND id < {lo + 2000}"))
+    for _ in range(2):
+        blocks = index.table.read().filter("term = 'the'").selectExpr("count(*) AS blocks", "sum(n) AS postings").first()
+        assert blocks.postings == 4000 and blocks.blocks <= 4
+        assert key(index.search(asked, 5, ("want", "tag")).hits) == want
+        index.compact()
