@@ -6,7 +6,7 @@ average length, so segments that are appended later do not make blocks stale. Co
 added up over segments when a search begins; an append writes its own units alone.
 
 Postings name units by their place in the bucket, whose own row (of no term) has the keys and lengths. All of a bucket is dealt
-to one task, when it is written and when it is searched, so the only rows that are exchanged are texts and blocks, never single scores.
+to one task, when it is written and when it is searched, so texts, blocks and a bucket's hits are exchanged, never single scores.
 
 A search of many queries at once:
 
