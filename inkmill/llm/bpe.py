@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from .common import release, small_batches
 from .pieces import Splitter, WordCache, special_tokens, tokenizer_file
 
-#: Characters of text that share one pair occurrence index.
-RUN_CHARS = 2 << 20
+#: Characters of text that share one pair occurrence index, and words of a generation of the cache: both are held by each worker of an executor.
+RUN_CHARS, CACHED_WORDS = 1 << 20, 60_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -174,6 +174,7 @@ def coder(path: str) -> tuple[PairIndexBpe, WordCache]:
         splitter,
         lambda words: encode_split(splitter.pieces_of_words(words)),
         lambda texts: encode_split([splitter.pieces(t) for t in texts]),
+        CACHED_WORDS,
     )
 
 

@@ -117,7 +117,7 @@ class WordCache:
         flat = words.flatten()
         coded = flat.dictionary_encode()
         distinct: list[str] = coded.dictionary.to_pylist()
-        at = coded.indices.to_numpy().astype(np.int64)
+        at = coded.indices.to_numpy().copy()
         first = offsets[:-1]
         heads = flat.take(pa.array(first)).to_pylist()
 
@@ -144,15 +144,14 @@ class WordCache:
         at[~rest] = len(entries) - 1
         at[first] = np.arange(len(distinct), len(distinct) + n)
 
-        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        arena = np.frombuffer(b"".join(entries), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        ids = arena[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(ends[-1])]
+        # Arrow lays them out, without an array of places as long as all ids
+        laid = pa.array(entries, pa.large_binary()).take(pa.array(at))
+        del entries, flat, coded, distinct, words, heads, rest, hits
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1) // 4
+        ids = np.frombuffer(laid.buffers()[2] or b"", "<u4", ends[-1])
         if len(known) > self._limit:
             self._old, self._new = known, {}
-        return ids, np.concatenate(([0], ends))[offsets]
+        return ids, ends[offsets]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         parts = [self._by_special(t) for t in texts]

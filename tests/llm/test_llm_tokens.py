@@ -1,6 +1,7 @@
 """BPE and the token store against the tokenizers library."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -68,6 +69,18 @@ def test_words_are_forgotten_in_two_steps():
     assert calls.count("b") == 2 and calls.count("c") == 1
 
 
+def test_ids_are_laid_out_without_arrays_of_places():
+    cache = pieces.WordCache(pieces.Splitter(PATH), lambda ws: [bytes(40_000)] * len(ws), lambda ts: [b""] * len(ts))
+    tracemalloc.start()
+    try:
+        ids, offsets = cache.encode(pa.array(["x" + " a" * 200]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(ids) == 2_000_000 and offsets.tolist() == [0, 2_000_000]
+    assert most < len(ids)  # bytes; two arrays of places took 32 000 000
+
+
 def documents(spark, extra=""):
     rows = [(i, t, f"s{i}") for i, t in enumerate(ODD)] + [(3, ODD[3], "again"), (None, "no id", None), (-5, "below zero", "x")]
     return spark.createDataFrame(rows, "doc_id long, text string, ids string")
