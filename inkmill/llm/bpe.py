@@ -210,7 +210,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
             )
             del batch
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, RUN_CHARS)
     return docs.select(*wanted).mapInArrow(run, schema)
 
 
@@ -249,5 +249,5 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
             )
             del batch
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, RUN_CHARS)
     return docs.select("doc_id", "text").mapInArrow(run, schema)

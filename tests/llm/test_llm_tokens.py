@@ -81,6 +81,17 @@ def test_ids_are_laid_out_without_arrays_of_places():
     assert most < len(ids)  # bytes; two arrays of places took 32 000 000
 
 
+def test_a_batch_on_its_way_to_the_encoder_is_one_run(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        bpe.encode(documents(spark), PATH)
+        assert 0 < int(spark.conf.get(name)) <= bpe.RUN_CHARS <= 1 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
 def documents(spark, extra=""):
     rows = [(i, t, f"s{i}") for i, t in enumerate(ODD)] + [(3, ODD[3], "again"), (None, "no id", None), (-5, "below zero", "x")]
     return spark.createDataFrame(rows, "doc_id long, text string, ids string")
